@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import components, lookalike, repetition, splitting
+from . import components, lookalike, neardup, repetition, splitting
 
 
 def p3_found(spark, d):
@@ -38,6 +38,18 @@ def p5_forms(spark, d):
     return _grounded(spark, d)
 
 
+_NOTE_TEXT = ["title", "description", "body"]
+
+
+def p6_found(spark, d):
+    return neardup.similar_pairs(table(spark, d, "notes"), "ord", _NOTE_TEXT, 0.7).toDF("ord_a", "ord_b").distinct()
+
+
+def p6_groups(spark, d):
+    """Every note with its class, group and number of similar classes."""
+    return neardup.similar_groups(table(spark, d, "notes"), "ord", _NOTE_TEXT, 0.7)
+
+
 def p9_found(spark, d):
     return repetition.repetitive(table(spark, d, "documents")).distinct()
 
@@ -49,8 +61,12 @@ def p9_profile(spark, d):
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')"
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_profile": p9_profile}
 ORACLE = {
+    "p6_found": r"""with n as (select ord, list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '') || ' ' || coalesce(any_value(body), '')), '[a-z0-9]+')) w from notes group by ord),
+        t as (select ord, len(w) n, unnest(w) x from n),
+        p as (select a.ord ord_a, b.ord ord_b, a.n na, b.n nb, count(*) c from t a join t b on a.x = b.x and a.ord < b.ord and least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) group by all)
+        select ord_a, ord_b from p where c >= 0.7 * (na + nb - c) - 1e-9""",
     "p4_found": r"""with c as (select id, any_value(source) source, any_value(start_line) a, any_value(end_line) b from chunks group by id),
         r as (select slug, any_value(string_split(raw, chr(10))) l, any_value(format) format from raw_sources group by slug)
         select c.id from c join r on c.source = r.slug join chunk_limits f on f.format = r.format
