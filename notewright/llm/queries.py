@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import components, lookalike, neardup, repetition, splitting
+from . import components, lookalike, mixing, neardup, packing, repetition, splitting
 
 
 def p3_found(spark, d):
@@ -50,6 +50,30 @@ def p6_groups(spark, d):
     return neardup.similar_groups(table(spark, d, "notes"), "ord", _NOTE_TEXT, 0.7)
 
 
+def _packed(spark, d):
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p7_containers(spark, d):
+    """Every document's place in the containers of every spec."""
+    return _packed(spark, d)
+
+
+def p7_fill(spark, d):
+    """How full the containers are."""
+    return packing.fill_report(_packed(spark, d))
+
+
+def p8_chosen(spark, d):
+    """The documents of every mix with their repeats."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark, d):
+    """Target and actual shares of every mix."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark, d):
     return repetition.repetitive(table(spark, d, "documents")).distinct()
 
@@ -61,7 +85,7 @@ def p9_profile(spark, d):
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')"
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_groups": p6_groups, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_groups": p6_groups, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 ORACLE = {
     "p6_found": r"""with n as (select ord, list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '') || ' ' || coalesce(any_value(body), '')), '[a-z0-9]+')) w from notes group by ord),
         t as (select ord, len(w) n, unnest(w) x from n),
