@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from ..session import table
-from . import components, lookalike, mixing, neardup, packing, repetition, splitting
+from . import components, lookalike, markup, mixing, neardup, packing, repetition, splitting
+
+
+def p2_found(spark, d):
+    return markup.kinds_found(table(spark, d, "raw_sources")).distinct()
+
+
+def p2_clean(spark, d):
+    """Every source as clean text."""
+    return markup.clean_sources(table(spark, d, "raw_sources"))
 
 
 def p3_found(spark, d):
@@ -85,7 +94,7 @@ def p9_profile(spark, d):
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')"
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_groups": p6_groups, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_groups": p6_groups, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
 ORACLE = {
     "p6_found": r"""with n as (select ord, list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '') || ' ' || coalesce(any_value(body), '')), '[a-z0-9]+')) w from notes group by ord),
         t as (select ord, len(w) n, unnest(w) x from n),
