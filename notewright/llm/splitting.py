@@ -161,7 +161,8 @@ def split_chunks(chunks: DataFrame, raw_sources: DataFrame, limits: DataFrame, w
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return full.mapInPandas(run, _SCHEMA)
 
