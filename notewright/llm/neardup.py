@@ -56,68 +56,99 @@ def frequent_words(texts: DataFrame, n_texts: int, share: float = FREQUENT) -> d
             if len(counts) > 200_000:
                 yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
                 counts = Counter()
-        yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())}, columns=["word", "n"])
+        if counts:
+            yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
 
     least = max(1, int(n_texts * share))
     got = texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
     return {r["word"]: r["n"] for r in got.toLocalIterator()}
 
 
-class _Orders:
-    """Global token orders. Every order ranks all words of all texts; they differ in what comes first.
-
-    0: rare words first. 1: words of odd hash first, rare ones before frequent
-    ones. 2: words of even hash first, likewise.
-    """
+class _Keys(dict):
+    """word -> 64-bit hash; word frequencies in classes of a quarter of a power of two."""
 
     def __init__(self, frequent: dict[str, int]) -> None:
-        self.frequent, self.seen = frequent, {}
-
-    def key(self, word: str) -> tuple[int, int]:
-        """(frequency class, hash): the sort key of order 0."""
-        k = self.seen.get(word)
-        if k is None:
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            k = self.seen[word] = (self.frequent.get(word, 0), _hash64(word))
-        return k
-
-
-def _bits(hashes: list[int]) -> int:
-    out = 0
-    for h in hashes:
-        out |= 1 << (h >> 1 & 255)
+        self.classes = {_hash64(w): min(127, 1 + int(4 * math.log2(n))) for w, n in frequent.items()}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = _hash64(word)
+        return h
+
+
+def _bits(rows: int, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """256-bit signatures (rows x 32 bytes) of hashes."""
+    out = np.zeros((rows, 32), np.uint8)
+    np.bitwise_or.at(out, (row, h >> 4 & 31), (1 << (h >> 1 & 7)).astype(np.uint8))
     return out
 
 
-def prefixes(texts: DataFrame, id_col: str, frequent, threshold: float, shared: int = SHARED) -> DataFrame:
-    """One row per text: its class (a digest of its word set), size, the prefix of order 0 and bit signatures of the prefixes of orders 1 and 2."""
+def _most(cls: np.ndarray) -> np.ndarray:
+    """The most records a word of a frequency class can have."""
+    return np.where(cls > 0, 2.0 ** (cls / 4), 0)
+
+
+def prefixes(texts: DataFrame, id_col: str, frequent, threshold: float, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+    """One row per text: its class (sum and xor of its words' hashes), size, the prefix of order 0 and bit signatures of the prefixes of orders 1 and 2.
+
+    Order 0 ranks words by frequency class, then hash; order 1 those of odd
+    hash before those of even hash, order 2 the other way round, each by
+    frequency class, then hash.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        orders = _Orders(frequent.value)
-        for batch in batches:
-            out = []
-            ids = batch[id_col]
-            for i, row in zip(ids, zip(*(batch[c] for c in batch.columns if c != id_col), strict=True), strict=True):
-                words = _word_set(*row)
-                n = len(words)
-                keyed = sorted(map(orders.key, words))
-                miss = n - _at_least(threshold * n)  # words that no similar text of any size need share
-                first = keyed[: miss + shared]
-                odd, even = [h for _, h in keyed if h & 1], [h for _, h in keyed if not h & 1]
-                sig = _bits((odd + even)[: miss + 1]) | _bits((even + odd)[: miss + 1]) << 256
-                cls = hashlib.blake2b(np.array(sorted(h for _, h in keyed), dtype="<i8").tobytes(), digest_size=16).digest()
-                tokens = np.array([h for _, h in first], dtype="<i8").astype("<i4").tobytes()
-                heavy = first[-1][0] > BLOCK if first else False  # the last one is the most frequent
-                freq = np.array([c for c, _ in first], dtype="<i4").tobytes() if heavy else b""
-                out.append((i, cls, n, tokens, freq, sig.to_bytes(64, "little")))
-            yield pd.DataFrame(out, columns=["id", "cls", "n", "prefix", "freq", "sig"])
-
-    return texts.mapInPandas(run, "id long, cls binary, n int, prefix binary, freq binary, sig binary")
+        keys = _Keys(frequent.value)
+        known = np.array(sorted(keys.classes), np.int64)
+        cls_of = np.array([keys.classes[h] for h in known.tolist()], np.int64)
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                batch = whole.iloc[at : at + 4096]
+                flat, n = [], np.zeros(len(batch), np.int64)
+                for i, row in enumerate(zip(*(batch[c] for c in batch.columns if c != id_col), strict=True)):
+                    words = _word_set(*row)
+                    n[i] = len(words)
+                    flat.extend(words)
+                h = np.fromiter(map(keys.__getitem__, flat), np.int64, len(flat))
+                row = np.repeat(np.arange(len(batch)), n)
+                first = np.cumsum(n) - n
+                c1, c2 = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+                some = n > 0
+                if len(h):
+                    c1[some], c2[some] = np.add.reduceat(h, first[some]), np.bitwise_xor.reduceat(h, first[some])
+                cls = np.zeros(len(h), np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    cls = np.where(known[k] == h, cls_of[k], 0)
+                low = h & ((1 << 40) - 1)
+                base = row << 48 | cls << 40 | low
+                miss = n - np.array([_at_least(threshold * x) for x in n.tolist()], np.int64)  # words no similar text need share
+                place = np.arange(len(h)) - np.repeat(first, n)
+                rank = np.sort(base)
+                inside = place < np.repeat(miss + shared, n)
+                kept = rank[inside]
+                size = np.minimum(n, miss + shared)
+                ends = np.cumsum(size)
+                tokens, freq = (kept & 0xFFFFFFFF).astype("<u4").tobytes(), _most(kept >> 40 & 127).astype("<i4")
+                sig = []
+                for odd_first in (1, 0):
+                    order = np.sort(base | ((low & 1) ^ odd_first) << 47)
+                    order = order[place < np.repeat(miss + 1, n)]
+                    sig.append(_bits(len(batch), order >> 48, order & ((1 << 40) - 1)))
+                sig = np.concatenate(sig, axis=1)
+                heavy = np.array([bool(s) and freq[e - 1] > block for s, e in zip(size.tolist(), ends.tolist(), strict=True)])
+                yield pd.DataFrame({
+                    "id": batch[id_col].to_numpy(), "c1": c1, "c2": c2, "n": n.astype(np.int32),
+                    "prefix": [tokens[4 * (e - s) : 4 * e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)],
+                    "freq": [freq[e - s : e].tobytes() if x else b"" for s, e, x in zip(size.tolist(), ends.tolist(), heavy.tolist(), strict=True)],
+                    "sig": [sig[i].tobytes() for i in range(len(batch))],
+                })
+
+    return texts.mapInPandas(run, "id long, c1 long, c2 long, n int, prefix binary, freq binary, sig binary")
 
 
 def _postings(threshold: float, block: int):
-    """Rows (tok, blk, rec, n, pos, rest): a record under each of its plain prefix's tokens, with the prefix tokens after it.
+    """Rows (tok, blk, rec, n, pos, rest): a record under each of its plain prefix's tokens, with 16 bits of each prefix token after it.
 
     A token of more than ``block`` records has several lists, one for each
     pair of blocks; a record is in the lists of its own block with every other.
@@ -127,18 +158,31 @@ def _postings(threshold: float, block: int):
         for batch in batches:
             tok, blk, rec, size, pos, rest = [], [], [], [], [], []
             for i, n, p, f in zip(batch["id"], batch["n"], batch["prefix"], batch["freq"], strict=True):
-                t, freq = np.frombuffer(p, "<i4").tolist(), np.frombuffer(f, "<i4").tolist()
-                for k in range(min(len(t), n - _at_least(threshold * n) + 1)):
-                    cuts = -(-freq[k] // block) if freq and freq[k] > block else 1
-                    own, after = i % cuts, p[4 * (k + 1) :]
+                array = np.frombuffer(p, "<u4")
+                t, short, freq = array.astype(np.int32).tolist(), (array >> 8).astype("<u2").tobytes(), np.frombuffer(f, "<i4").tolist()
+                plain = min(len(t), n - _at_least(threshold * n) + 1)
+                if not freq:
+                    tok += t[:plain]
+                    blk += [0] * plain
+                    rec += [i] * plain
+                    size += [n] * plain
+                    pos += range(plain)
+                    rest += [short[2 * k + 2 :] for k in range(plain)]
+                    continue
+                for k in range(plain):
+                    cuts = -(-freq[k] // block) if freq[k] > block else 1
+                    own = i % cuts
                     for other in range(cuts):
                         tok.append(t[k])
                         blk.append(min(own, other) * cuts + max(own, other))
                         rec.append(i)
                         size.append(n)
                         pos.append(k)
-                        rest.append(after)
-            yield pd.DataFrame({"tok": np.array(tok, np.int32), "blk": np.array(blk, np.int32), "rec": np.array(rec, np.int64), "n": np.array(size, np.int32), "pos": np.array(pos, np.int32), "rest": pd.Series(rest, dtype=object)})
+                        rest.append(short[2 * k + 2 :])
+            if not tok:
+                continue
+            yield pd.DataFrame({"tok": np.array(tok, np.int32), "blk": np.array(blk, np.int32), "rec": np.array(rec, np.int64), "n": np.array(size, np.int32),
+                                "pos": np.array(pos, np.int32), "rest": pd.Series(rest, dtype=object)})
 
     return run
 
@@ -151,54 +195,84 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.concatenate((at, [len(sorted_keys)])))
 
 
-def _pair_up(start: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs (i < j) within runs, about ``most`` at a time."""
-    n = int(length.sum())
-    within = np.arange(n) - np.repeat(np.cumsum(length) - length, length)
-    i, later = np.repeat(start, length) + within, np.repeat(length, length) - within - 1
-    ends = np.cumsum(later)
-    at = 0
+def _pair_up(later: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, i + 1 ... i + later[i]), about ``most`` at a time."""
+    ends, n, at = np.cumsum(later), len(later), 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         k = later[at:to]
-        a = np.repeat(i[at:to], k)
-        yield a, np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k) + a + 1
+        a = np.repeat(np.arange(at, to), k)
+        if len(a):
+            yield a, np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k) + a + 1
         at = to
 
 
 def _need(threshold: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Words that sets of these sizes must share."""
-    return np.ceil(threshold / (1 + threshold) * (x.astype(np.int64) + y) - 1e-9)
+    return np.ceil(threshold / (1 + threshold) * (x.astype(np.int64) + y) - 1e-9).astype(np.int64)
+
+
+def _common(rest: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tokens that the rests of rows x and y have in common."""
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), 50_000):
+        xs, ys = x[at : at + 50_000], y[at : at + 50_000]
+        rows, where = np.unique(np.concatenate((xs, ys)), return_inverse=True)
+        lens = np.array([len(rest[i]) // 2 for i in rows.tolist()])
+        pair = np.repeat(np.arange(len(xs)), lens[where[: len(xs)]])
+        flat = [np.frombuffer(b"".join(rest[i] for i in side.tolist()), "<u2").astype(np.int64) for side in (xs, ys)]
+        pair_y = np.repeat(np.arange(len(ys)), lens[where[len(xs) :]])
+        hit = np.isin(pair << 16 | flat[0], pair_y << 16 | flat[1])
+        out[at : at + 50_000] = np.bincount(pair[hit], minlength=len(xs))
+    return out
 
 
 def _join_lists(group: np.ndarray, rec: np.ndarray, n: np.ndarray, pos: np.ndarray, rest: list[bytes], threshold: float, shared: int, most: int = 2_000_000) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of whole posting lists (``group`` numbers them): they share the list's token and enough of those after it."""
+    """Candidate pairs of whole posting lists (``group`` numbers them): they share the list's token and enough of those after it.
+
+    A pair that must share ``need`` words leaves at most n - need of each
+    text's words alone, so its k-th shared word is among the first
+    n - need + k of either text. With s words shared by the stored prefixes,
+    at most s + max(n - stored prefix) can be shared in all.
+    """
     m = len(rec)
-    lens = np.fromiter((len(r) // 4 for r in rest), np.int64, m)
+    lens = np.fromiter((len(r) // 2 for r in rest), np.int64, m)
     owner = np.repeat(np.arange(m), lens)
-    both = group[owner] << 32 | np.frombuffer(b"".join(rest), "<u4").astype(np.int64)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens) + pos[owner] + 1  # position of the second word
+    both = (group[owner] << 16 | np.frombuffer(b"".join(rest), "<u2").astype(np.int64)) << 12 | np.minimum(place, 4095)
     order = np.argsort(both, kind="stable")
-    both, owner = both[order], owner[order]
-    start, length = _runs(both)
+    both, owner, place = both[order], owner[order], place[order]
+    # rows of one list with one second word, by position; partners up to where both positions are too late
+    room = (n[owner] * ((1 - threshold) / threshold) + 2 * shared).astype(np.int64) - place
+    last = np.searchsorted(both, (both >> 12 << 12) | np.clip(room, 0, 4095), side="right")
+    later = np.maximum(0, last - np.arange(len(owner)) - 1)
     got, out = [], []
-    for a, b in _pair_up(start[length > 1], length[length > 1], most):
-        x, y = np.minimum(owner[a], owner[b]), np.maximum(owner[a], owner[b])
+    for a, b in _pair_up(later, most):
+        x, y = owner[a], owner[b]
         nx, ny = n[x], n[y]
         need = _need(threshold, nx, ny)
-        ok = (x != y) & (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (pos[x] <= nx - need) & (pos[y] <= ny - need)
-        got.append(x[ok] * m + y[ok])
+        gx, gy = nx - need, ny - need  # words that may stay alone
+        ok = (gx >= pos[x]) & (gy >= pos[y]) & (gx + shared > place[a]) & (gy + shared > place[b]) & (x != y)
+        x, y = x[ok], y[ok]
+        got.append(np.minimum(x, y) * m + np.maximum(x, y))
     if got:
         code = np.sort(np.concatenate(got))
         s, count = _runs(code)
         x, y = code[s] // m, code[s] % m
-        ok = (count + 1 >= np.minimum(shared, _need(threshold, n[x], n[y]))) & (rec[x] != rec[y])
+        need = _need(threshold, n[x], n[y])
+        ok = (count + 1 >= np.minimum(shared, need)) & (rec[x] != rec[y])
+        x, y, need = x[ok], y[ok], need[ok]
+        tail = n - pos - 1 - lens  # words after the stored prefix
+        least = need - np.maximum(tail[x], tail[y])
+        ok = _common(rest, x, y) + 1 >= least
         x, y = rec[x[ok]], rec[y[ok]]
         out.append((np.minimum(x, y), np.maximum(x, y)))
     # texts that need to share one word only meet by the list's token itself
     single = np.flatnonzero(n < 1 / threshold + 1)
     if threshold < 0.5 and len(single):
-        s, k = _runs(group[single])
-        for a, b in _pair_up(s, k, most):
+        _, k = _runs(group[single])
+        later = np.repeat(k, k) - (np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)) - 1
+        for a, b in _pair_up(later, most):
             x, y = single[a], single[b]
             ok = (_need(threshold, n[x], n[y]) <= 1) & (rec[x] != rec[y])
             out.append((np.minimum(rec[x], rec[y])[ok], np.maximum(rec[x], rec[y])[ok]))
@@ -285,7 +359,7 @@ def similar_classes(texts: DataFrame, id_col: str, columns: list[str], threshold
     only = texts.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), *columns)
     frequent = sc.broadcast(frequent_words(only.select(*columns), only.count()))
     every = cut(prefixes(only, id_col, frequent, threshold, shared))
-    ranked = every.groupBy("cls", "n", "prefix", "freq", "sig").agg(F.min("id").alias("id"))
+    ranked = every.groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "prefix", "freq", "sig")).alias("r")).select("c1", "c2", "n", "r.*")
     reps = ranked.filter("n > 0")
     lists = reps.select("id", "n", "prefix", "freq").mapInPandas(_postings(threshold, BLOCK), "tok int, blk int, rec long, n int, pos int, rest binary")
     found = lists.repartition("tok", "blk").sortWithinPartitions("tok", "blk").mapInPandas(_candidates(threshold, shared), "a long, b long")
@@ -307,7 +381,8 @@ def similar_classes(texts: DataFrame, id_col: str, columns: list[str], threshold
     inter = F.size(F.array_intersect("ta", "tb"))
     sim = inter / (F.size("ta") + F.size("tb") - inter)
     checked = joined.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
-    members = every.select("id", "cls").distinct().join(ranked.select("cls", F.col("id").alias("rep")), "cls").select("id", "rep")
+    member = every.select("id", "c1", "c2", "n").distinct()
+    members = member.join(member.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")), ["c1", "c2", "n"]).select("id", "rep")
     return checked, members
 
 
