@@ -89,3 +89,12 @@ def folio(page: Column, offset: Column) -> Column:
 def month_index(ts: Column) -> Column:
     """Months since year 0 (UTC session)."""
     return F.year(ts) * 12 + F.month(ts) - 1
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once (an optimizer would copy it into every use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blank_to_null(c: Column) -> Column:
+    return F.when(c != "", c)
