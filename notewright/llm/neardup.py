@@ -22,6 +22,8 @@ SHARED = 4
 FREQUENT = 1 / 2000
 #: Records of one posting list that meet in one place at most; longer lists are cut into blocks.
 BLOCK = 20_000
+#: Texts whose postings make up one task's share.
+TEXTS_PER_TASK = 20_000
 #: A broadcast of candidate ids is allowed up to so many (8 bytes each).
 ID_BOUND = 2_000_000
 
@@ -357,12 +359,15 @@ def similar_classes(texts: DataFrame, id_col: str, columns: list[str], threshold
     """
     sc = texts.sparkSession.sparkContext
     only = texts.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), *columns)
-    frequent = sc.broadcast(frequent_words(only.select(*columns), only.count()))
+    n_texts = only.count()
+    frequent = sc.broadcast(frequent_words(only.select(*columns), n_texts))
     every = cut(prefixes(only, id_col, frequent, threshold, shared))
     ranked = every.groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "prefix", "freq", "sig")).alias("r")).select("c1", "c2", "n", "r.*")
     reps = ranked.filter("n > 0")
     lists = reps.select("id", "n", "prefix", "freq").mapInPandas(_postings(threshold, BLOCK), "tok int, blk int, rec long, n int, pos int, rest binary")
-    found = lists.repartition("tok", "blk").sortWithinPartitions("tok", "blk").mapInPandas(_candidates(threshold, shared), "a long, b long")
+    # tasks of one size at any number of texts
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_texts // TEXTS_PER_TASK)
+    found = lists.repartition(tasks, "tok", "blk").sortWithinPartitions("tok", "blk").mapInPandas(_candidates(threshold, shared), "a long, b long")
     pairs = cut(found.distinct())
 
     small = pairs.count() * 2 <= ID_BOUND

@@ -95,7 +95,17 @@ def p9_profile(spark, d):
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')"
 
 QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p6_groups": p6_groups, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_chosen": p8_chosen, "p8_shares": p8_shares, "p9_found": p9_found, "p9_profile": p9_profile}
+_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
+#: Everything a name reaches over notes and equal names; quadratic in the size of a group, so for small tables only.
+_GROUPS = f"""with recursive n as (select distinct ord, vault, {_KEY.format("name")} k from (select ord, vault, unnest(list_prepend(slug, coalesce(aliases, []))) as name from notes) where {_KEY.format("name")} <> ''),
+    e0 as (select n.vault, f.k a, n.k b from n join (select ord, min(k) k from n group by ord) f using (ord) where f.k <> n.k
+        union select vault, {_KEY.format("slug_a")}, {_KEY.format("slug_b")} from note_matches where same and {_KEY.format("slug_a")} <> '' and {_KEY.format("slug_b")} <> ''),
+    e as (select vault, a, b from e0 union select vault, b, a from e0),
+    reach as (select vault, k a, k b from (select distinct vault, k from n) union select reach.vault, reach.a, e.b from reach join e on e.vault = reach.vault and e.a = reach.b),
+    g as (select n.ord, min(m.ord) g from n join reach on reach.vault = n.vault and reach.a = n.k join n m on m.vault = reach.vault and m.k = reach.b group by n.ord)"""
 ORACLE = {
+    "p3_found": _GROUPS + " select distinct g group_ord, ord from g where g <> ord",
+    "p3_groups": _GROUPS + " select distinct notes.ord, coalesce(g.g, notes.ord) group_ord from notes left join g using (ord) where notes.ord is not null",
     "p6_found": r"""with n as (select ord, list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '') || ' ' || coalesce(any_value(body), '')), '[a-z0-9]+')) w from notes group by ord),
         t as (select ord, len(w) n, unnest(w) x from n),
         p as (select a.ord ord_a, b.ord ord_b, a.n na, b.n nb, count(*) c from t a join t b on a.x = b.x and a.ord < b.ord and least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) group by all)
