@@ -159,7 +159,7 @@ def similar_titles(notes: DataFrame, threshold: float = 0.5) -> DataFrame:
     t = cut(title_tokens(notes).filter("size(t) > 0"))
     each = t.select("vault", "ord", F.size("t").alias("n"), F.explode("t").alias("x"))
     counts = each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(counts, "x").selectExpr("vault", "ord", "n", "x", "row_number() over (partition by vault, ord order by df, x) as r")
+    ranked = join_by_key(each, counts, ["x"], "inner", hot_keys(counts, ["x"], "df")).selectExpr("vault", "ord", "n", "x", "row_number() over (partition by vault, ord order by df, x) as r")
     prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("vault", "ord", "n", "x")
     a, b = (prefix.select("vault", "x", F.col("ord").alias(f"ord_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
     near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9) & (F.col("ord_a") < F.col("ord_b"))

@@ -27,22 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/notewright-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so its lineage ends there.
 
     A written table, not a local checkpoint: an executor's loss costs nothing.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._cut_path = path  # type: ignore[attr-defined]
     return again
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove a table made by :func:`cut` that nothing will read again."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Remove all tables this application cut, once their results are written or no longer needed."""
+    _delete(spark, _own_dir(spark))
