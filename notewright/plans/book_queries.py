@@ -152,6 +152,14 @@ ORACLE = {
         n as (select slug, o, count(*) n from v group by all), t as (select slug, arg_max(o, n) o, max(n) n, sum(n) total from n group by slug)
         select s.slug id, cast(case when o >= 0 and n >= 3 and 2 * n > total then o end as int) page_offset from s left join t using (slug)""",
     "chunk_plan": f"with recursive {_S}, {_PLAN} select slug source, seq, cast(start_line as int) start_line, cast(end_line as int) end_line, words from plan",
+    "chunk_labels": rf"""with recursive {_S}, {_PLAN}, t as (select slug, n, {_strip("line")} t from l),
+        q as (select *, coalesce(nullif(regexp_extract(t, '{_STRONG1}', 1), ''), nullif(regexp_extract(t, '{_STRONG2}', 1), ''), case when len(t) <= 70 and not regexp_matches(t, '[.,;:]$') then nullif(regexp_extract(t, '{books.WEAK}', 1), '') end,
+            case when len(regexp_extract(t, '{books.SECTION}', 1)) <= 3 then nullif(regexp_extract(t, '{books.SECTION}', 1), '') end) num, {_strip(f"regexp_replace(t, '{books.LEADING}', '')")} a from t where t <> ''),
+        h as (select slug, n, cast(try_cast(num as bigint) as int) chapter, t as label from q where try_cast(num as bigint) <= 99 and len(t) <= 70 and not regexp_matches(t, '[.,;:]$')
+            and (a = '' or (regexp_matches(a, '^\p{{Lu}}') and not (a = upper(a) and regexp_matches(a, '\p{{L}}')) and {_wc("a")} <= 8 and len(regexp_extract(a, '^{_NWSC}+')) >= 3 and regexp_matches(regexp_extract(a, '^{_NWSC}+'), '\p{{L}}') and not regexp_matches(regexp_extract(a, '^{_NWSC}+'), '\d'))))
+        select p.slug source, p.seq, cast(start_line as int) start_line, cast(end_line as int) end_line, words, coalesce(i.chapter, b.chapter) chapter, coalesce(i.label, b.label, 'lines ' || start_line || '-' || end_line) as label from plan p
+        left join (select p.slug, p.seq, arg_min(chapter, n) chapter, arg_min(h.label, n) as label from plan p join h on h.slug = p.slug and h.n between start_line and end_line group by all) i on i.slug = p.slug and i.seq = p.seq
+        left join (select p.slug, p.seq, arg_max(chapter, n) chapter, arg_max(h.label, n) as label from plan p join h on h.slug = p.slug and h.n < start_line group by all) b on b.slug = p.slug and b.seq = p.seq""",
     "chunk_text": """with c as (select id, any_value(source) source, any_value(start_line) a, any_value(end_line) b from chunks group by id), s as (select slug, any_value(raw) raw from raw_sources group by slug)
         select id, array_to_string(string_split(raw, chr(10))[greatest(a, 1):b], chr(10)) as text from c join s on s.slug = c.source""",
     "line_pages": f"""with {_S}, {_LINES}, p as (select l.slug, l.n, s.page_offset o, coalesce(sum(len(line) - len(replace(line, chr(12), ''))) over (partition by l.slug order by n rows between unbounded preceding and 1 preceding), 0) + 1 as page from l join s using (slug))

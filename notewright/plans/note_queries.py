@@ -182,6 +182,10 @@ ORACLE = {
         b as (select slug, max(score) top from sc group by slug), k as (select slug, top, count(*) ties, max(name) as name from sc join b using (slug) where score = top group by all)
         select sl.slug, case when top >= 0.6 and ties = 1 then name end source, round(coalesce(top, 0), 3) score, coalesce(top >= 0.6 and ties > 1, false) ambiguous from sl left join k using (slug)""",
     "section_counts": f"with {_N} select section, count(ord) notes from (values {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in nt.SECTIONS.items())}) t(ct, section) left join n on {_CANON} = t.ct group by section",
+    "note_citations": f"""with recursive {_N}, {_G}, sl as (select distinct slug from n where slug is not null), {_EDGES}, {_ROOTS},
+        m as (select gr.*, n.vault, coalesce(roots.root, n.slug) canonical, dense_rank() over (partition by n.vault, coalesce(roots.root, n.slug) order by n.ord) rn from n join gr on gr.ord = n.ord and gr."at" is not null left join roots on roots.slug = n.slug),
+        f as (select *, min(row(rn, pos)) over (partition by vault, canonical, source, chapter, quote, folio) first from m)
+        select vault, canonical slug, cast(row_number() over (partition by vault, canonical order by rn, pos) as int) number, source, chapter, quote, folio from f where rn = 1 or row(rn, pos) = first""",
     "note_merge": f"""with recursive {_N}, {_G}, sl as (select distinct slug from n where slug is not null), {_EDGES}, {_ROOTS},
         k as (select ord, list(row(source, chapter, quote) order by pos) g from gr where "at" is not null group by ord),
         m as (select n.*, coalesce(roots.root, n.slug) canonical, g, row_number() over (partition by vault, coalesce(roots.root, n.slug) order by n.ord) rn from n join k using (ord) left join roots on roots.slug = n.slug),
