@@ -25,7 +25,7 @@ def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY):
     """The tokenizer of a vocabulary file, loaded once a process."""
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (Path(folder) / vocabulary).read_bytes().splitlines()) }
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (Path(folder) / vocabulary).read_bytes().splitlines())}
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -78,7 +78,8 @@ def measured(documents: DataFrame, carry: tuple[str, ...] = (), folder: str = FO
 
     quality is 1 minus the share of repeated five-token sequences, at least
     0.05. curve_key is the Hilbert index of the document's vector of distinct
-    tokens, hashed to DIMS random directions. A null text has no tokens.
+    tokens, hashed to DIMS random directions. A null text has no tokens; rows
+    without a doc_id are left out.
     """
     kinds = dict(documents.dtypes)
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *[f"{c} {kinds[c]}" for c in carry], "n_tokens long, quality double, curve_key long"])
@@ -99,4 +100,4 @@ def measured(documents: DataFrame, carry: tuple[str, ...] = (), folder: str = FO
             cells = np.clip((at + 4) / 8 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
             yield batch[["doc_id", *carry]].assign(n_tokens=size, quality=quality, curve_key=hilbert(cells, BITS))
 
-    return documents.select("doc_id", *carry, "text").mapInPandas(run, schema)
+    return documents.filter("doc_id is not null").select("doc_id", *carry, "text").mapInPandas(run, schema)

@@ -182,7 +182,7 @@ def test_hilbert():
 
 def test_packed(spark, monkeypatch):
     monkeypatch.setattr(packing, "SEGMENT", 20)
-    docs = spark.createDataFrame([(i, f"word{i % 5} " * (i % 90), 1) for i in range(150)] + [(150, None, 1), (151, "", 1), (3, "again", 1)], "doc_id long, text string, tokens int")
+    docs = spark.createDataFrame([(i, f"word{i % 5} " * (i % 90), 1) for i in range(150)] + [(150, None, 1), (151, "", 1), (3, "again", 1), (None, "no id", 1)], "doc_id long, text string, tokens int")
     specs = spark.createDataFrame([("tiny", 32), ("big", 500), ("none", None), ("tiny", 32)], "spec string, capacity_tokens int")
     rows = packing.packed(docs, specs).collect()
     assert {r.spec for r in rows} == {"tiny", "big"}
@@ -270,6 +270,17 @@ def test_tree_is_nested():
             assert p.a <= n.start and n.end <= p.b and n.depth == p.depth + 1
 
 
+def test_long_odd_lines():
+    """Texts made to be slow: one line, many openers, nothing closed."""
+    import time
+
+    for text in ("a | b " * 40_000, "`x " * 20_000, "<!-- x " * 20_000, "<b>x " * 20_000, "$x " * 20_000, "[[x " * 20_000, "''x " * 20_000, "**x " * 20_000, "\\begin{a} " * 10_000, "# " + "x " * 100_000):
+        start = time.time()
+        _, nodes, take = next(markup.decided([text], markup.model()))
+        markup.clean(text, nodes, take)
+        assert time.time() - start < 30
+
+
 def test_clean_sources(spark):
     df = spark.createDataFrame([("a", "x **b** y", 1), ("a", "x **b** y", 1), ("n", None, 1), ("e", "", 1), (None, "<b>q</b>", 1), ("long", "word " * 50_000, 1)], "slug string, raw string, clean int")
     got = {r.source: r for r in markup.clean_sources(df).collect()}
