@@ -87,8 +87,9 @@ def folio(page: Column, offset: Column) -> Column:
 
 
 def month_index(ts: Column) -> Column:
-    """Months since year 0 (UTC session)."""
-    return F.year(ts) * 12 + F.month(ts) - 1
+    """Months since year 0, in UTC whatever the session's time zone."""
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(ts.cast("timestamp")) / 86_400).cast("int"))
+    return F.year(day) * 12 + F.month(day) - 1
 
 
 def let(value: Column, body) -> Column:

@@ -28,6 +28,15 @@ def test_text(spark):
     assert one(spark, None, tx.words) is None
 
 
+def test_month_is_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+    try:
+        ts = "timestamp_micros(1706745599999999L)"  # the last microsecond of January 2024 in UTC
+        assert spark.sql(f"select {ts} x").select(tx.month_index(F.col("x")).alias("m")).first().m == 2024 * 12
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("line,chapter", [
     ("Chapter 3 Convolutional Codes", 3), ("2.2.3 Parity-Check Matrix", 2), ("3.2 Trellis Diagram and the Viterbi Algorithm", 3), ("Chapter 2", 2), ("CAPÍTULO 4 Los Ríos", 4),
     ("010101010101010101010101", None), ("322 ACRONYMS", None), ("Chapter 2 presents the code.", None), ("1. All code words of the list are counted once here too", None), ("1 G1,k+1 (D)", None), ("2 Es", None), ("", None), ("plain", None),
