@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import let, words
 
 #: Frequent function words of the corpus languages.
 STOP_WORDS = (
@@ -39,11 +39,6 @@ def shingles(w: Column, n: int = 5) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once (an optimizer would copy it into every use)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def measures(text: Column, w: Column, lines: Column, paras: Column) -> dict[str, Column]:
     """Measures of a text from its words, trimmed non-empty lines and paragraphs."""
     size, chars = F.size(w), F.length(F.array_join(lines, ""))

@@ -10,7 +10,6 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Folder of the public tokenizers' vocabulary files, and the one used; both are parameters.
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
