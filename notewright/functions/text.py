@@ -1,9 +1,13 @@
-"""Column builders for text. All of them stay inside Catalyst."""
+"""Column builders for text. All but :func:`folded` stay inside Catalyst."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode white space as a Java character class (what Python's str.split() separates at).
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -46,6 +50,22 @@ def norm(c: Column) -> Column:
     return squeeze(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
 
 
+def folded(c: Column) -> Column:
+    """Compatibility form (NFKC) of the whole text, fully case folded; white space stays.
+
+    An Arrow function that runs once per distinct value of a batch; pure ASCII values never leave the JVM.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(s, use_na_sentinel=True)
+        done = [unicodedata.normalize("NFKC", v).casefold() for v in values]
+        return pd.Series([None if k < 0 else done[k] for k in codes], dtype=object)
+
+    plain = c.isNull() | ~c.rlike(r"[^\x00-\x7f]")
+    return F.coalesce(F.when(plain, F.lower(c)), run(F.when(~plain, c)))
+
+
 def lines(c: Column) -> Column:
     """Split at line feeds only; a trailing empty line stays."""
     return F.split(c, "\n")

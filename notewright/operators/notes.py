@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, initials, norm, pages, strip, token_set
+from ..functions.text import blank_to_null, folded, initials, pages, squeeze, strip, token_set
 from ..session import cut
 from .skew import HOT_ROWS, hot_keys, join_by_key
 
@@ -49,11 +49,15 @@ def ground(notes: DataFrame, sources: DataFrame, hot_rows: int = HOT_ROWS) -> Da
 
     ``at`` is the 1-based place, null if the quote is blank, the source
     unknown, or the quote not in it. The quote and the source are normalized
-    once each; page and folio follow from the form feeds before the place.
+    once each, both as whole texts: NFKC, full case folding, white space
+    squeezed. (The reference composes the quote only, and so loses quotes with
+    decomposed accents.) Page and folio follow from the form feeds before the
+    place.
     """
     c = notes.select("ord", F.posexplode("citations").alias("pos", "c")).filter("c is not null").select("ord", "pos", F.col("c.source").alias("source"), F.col("c.chapter").alias("chapter"), F.col("c.quote").alias("quote"))
+    c = c.withColumn("needle", squeeze(folded(F.col("quote"))))
     # pages are normalized one by one: joined by blanks they are the normalized text, and their starts tell a place's page
-    by_page = sources.select(F.col("slug").alias("source"), "page_offset", F.transform(pages(F.col("raw")), norm).alias("p"))
+    by_page = sources.select(F.col("slug").alias("source"), "page_offset", F.transform(pages(folded(F.col("raw"))), squeeze).alias("p"))
     none = F.array().cast("array<struct<page:int,start:int>>")
     zero = F.struct(F.lit(0).alias("page"), F.lit(1).alias("start"), none.alias("out"))
 
@@ -64,7 +68,7 @@ def ground(notes: DataFrame, sources: DataFrame, hot_rows: int = HOT_ROWS) -> Da
     s = by_page.select("source", "page_offset", F.array_join(F.filter("p", lambda x: x != ""), " ").alias("norm"), F.aggregate("p", zero, step, lambda acc: acc["out"]).alias("starts"))
     per = c.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("source is not null")
     got = join_by_key(c, s, ["source"], "left", hot_keys(per, ["source"], rows=hot_rows))
-    at = F.when(norm(F.col("quote")) != "", F.instr(F.col("norm"), norm(F.col("quote")))).cast("long")
+    at = F.when(F.col("needle") != "", F.instr(F.col("norm"), F.col("needle"))).cast("long")
     hit = got.withColumn("at", F.when(at > 0, at))
     page = F.try_element_at(F.filter("starts", lambda x: x["start"] <= F.col("at")), F.lit(-1))["page"]
     hit = hit.withColumn("page", page)
