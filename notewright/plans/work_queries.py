@@ -9,7 +9,7 @@ from ..operators import books
 from ..operators import model_loops as ml
 from ..operators import notes as nt
 from ..operators import upgrades as up
-from ..session import table
+from ..session import cut, table
 from ..sources import files as fs
 from ..streaming.build import event_windows as _windows
 from .note_queries import _notes, _src
@@ -68,10 +68,10 @@ def built_chunks(spark, d):
 
 
 def cover_notes(spark, d):
-    """Headings of sources that no note is named after, found in rounds until none is new."""
-    heads = books.chapters(_src(spark, d)).select(name_key(F.regexp_replace("heading", books.LEADING, "")).alias("slug"), "number").filter("slug <> ''")
+    """Headings of sources that no note is named after; every round proposes from all headings, until none is new."""
+    heads = cut(books.chapters(_src(spark, d)).select(name_key(F.regexp_replace("heading", books.LEADING, "")).alias("slug")).filter("slug <> ''").distinct())
     known = table(spark, d, "notes").select(name_key(F.col("slug")).alias("slug"))
-    found, _ = ml.until_dry(known, lambda have, k: heads.filter(F.col("number") <= 3 * k).select("slug"), ["slug"], 20)
+    found, _ = ml.until_dry(known, lambda have, k: heads.join(have, "slug", "left_anti"), ["slug"], 20)
     return found
 
 

@@ -6,6 +6,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from notewright.operators import notes as nt
+from notewright.plans import work_queries as wq
 from test_core import NOTE, SOURCE, _note
 
 
@@ -16,7 +17,7 @@ def _norm(text):
 def test_ground_compatibility_characters(spark):
     """Against brute force: full-width letters, ligatures, sharp s, decomposed accents, over page ends."""
     r = random.Random(5)
-    pieces = ["ﬁnd", "find", "ＡＢＣ", "abc", "Straße", "STRASSE", "café", "café", "ſ", "s", "İ", "Ⅷ", "viii", "´", "　", "\f", "\n\f ", "😀", "Σς"]
+    pieces = ["ﬁnd", "find", "ＡＢＣ", "abc", "Straße", "STRASSE", "caf\u00e9", "cafe\u0301", "ſ", "s", "İ", "Ⅷ", "viii", "´", "　", "\f", "\n\f ", "😀", "Σς"]
     raw = " ".join(r.choice(pieces) for _ in range(200))
     quotes = [" ".join(r.choice(pieces) for _ in range(r.randint(1, 3))) for _ in range(150)] + ["", " 　", "nowhere", "ABC"]
     notes = spark.createDataFrame([_note(i, f"n{i}", (q,)) for i, q in enumerate(quotes)], NOTE)
@@ -30,3 +31,23 @@ def test_ground_compatibility_characters(spark):
     for i, q in enumerate(quotes):
         at = text.find(_norm(q)) + 1 if _norm(q) else 0
         assert got[i] == ((at, max(k for s, k in starts if s <= at)) if at else (None, None)), q
+
+
+RAW = "slug string, title string, format string, page_offset int, source_filename string, raw string, loaded_at timestamp, deleted_at timestamp"
+
+
+def _write(spark, d, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{d}/{name}.parquet")
+    return str(d)
+
+
+def _raw(slug, raw, format_="txt"):
+    return (slug, "T", format_, None, f"{slug}.{format_}", raw, None, None)
+
+
+def test_cover_has_every_heading(spark, tmp_path):
+    """Large chapter numbers and gaps between them; a plain anti-join has the same."""
+    raw = "\n".join(f"Chapter {n} Topic {w}" for n, w in ((1, "One"), (2, "Known"), (9, "Gap"), (61, "Far"), (401, "Farthest")))
+    d = _write(spark, tmp_path, raw_sources=([_raw("s", raw)], RAW), notes=([_note(1, "topic-known")], NOTE))
+    assert sorted(r.slug for r in wq.cover_notes(spark, d).collect()) == ["topic-far", "topic-farthest", "topic-gap", "topic-one"]
