@@ -47,7 +47,7 @@ def match_replies(spark, d):
 def verdict_tally(spark, d):
     n = _notes(spark, d)
     quotes = F.transform(F.coalesce("citations", F.array().cast("array<struct<chapter:int,quote:string,source:string>>")), lambda c: F.coalesce(c["quote"], F.lit("")))
-    judged = n.filter("ord % 7 <> 0").select("vault", "ord", ml.offline_verdict(F.col("body"), quotes).alias("verdict"))  # every seventh got no verdict
+    judged = n.select("vault", "ord", ml.offline_verdict(F.col("body"), quotes).alias("verdict"))
     return ml.tally(n.select("vault", "ord"), judged, ["vault", "ord"])
 
 

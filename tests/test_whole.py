@@ -5,7 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from notewright.operators import notes as nt
+from notewright.operators import model_loops as ml, notes as nt
 from notewright.plans import work_queries as wq
 from test_core import NOTE, SOURCE, _note
 
@@ -51,3 +51,16 @@ def test_cover_has_every_heading(spark, tmp_path):
     raw = "\n".join(f"Chapter {n} Topic {w}" for n, w in ((1, "One"), (2, "Known"), (9, "Gap"), (61, "Far"), (401, "Farthest")))
     d = _write(spark, tmp_path, raw_sources=([_raw("s", raw)], RAW), notes=([_note(1, "topic-known")], NOTE))
     assert sorted(r.slug for r in wq.cover_notes(spark, d).collect()) == ["topic-far", "topic-farthest", "topic-gap", "topic-one"]
+
+
+def test_every_note_is_judged(spark, tmp_path):
+    quote = "alpha beta gamma"
+    d = _write(spark, tmp_path, notes=([_note(i, f"n{i}", (quote,), body=quote) for i in range(15)], NOTE))
+    assert [(r.total, r.supported, r.faithfulness) for r in wq.verdict_tally(spark, d).collect()] == [(15, 15, 1.0)]
+
+
+def test_missing_verdict_is_unsupported(spark):
+    expected = spark.createDataFrame([("v", i) for i in range(4)], "vault string, ord long")
+    verdicts = spark.createDataFrame([("v", 0, "supported"), ("v", 1, "overreach")], "vault string, ord long, verdict string")
+    r = ml.tally(expected, verdicts, ["vault", "ord"]).first()
+    assert (r.total, r.supported, r.overreach, r.unsupported, r.faithfulness) == (4, 1, 1, 2, 0.25)
