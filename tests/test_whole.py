@@ -64,3 +64,9 @@ def test_missing_verdict_is_unsupported(spark):
     verdicts = spark.createDataFrame([("v", 0, "supported"), ("v", 1, "overreach")], "vault string, ord long, verdict string")
     r = ml.tally(expected, verdicts, ["vault", "ord"]).first()
     assert (r.total, r.supported, r.overreach, r.unsupported, r.faithfulness) == (4, 1, 1, 2, 0.25)
+
+
+def test_readers_run_on_every_source(spark, tmp_path):
+    d = _write(spark, tmp_path, raw_sources=([_raw("a", "R&amp;D &lt;x", "html"), _raw("b", "<p>hi</p>", "html"), _raw("c", "{plain}", "rtf"), _raw("d", "{\\rtf1 x}", "rtf")], RAW))
+    assert {r.slug: r.text for r in wq.html_to_text(spark, d).collect()} == {"a": "R&D <x", "b": "\nhi", "c": "{plain}", "d": "{\\rtf1 x}"}
+    assert {r.slug: r.text for r in wq.rtf_to_text(spark, d).collect()} == {"a": "R&amp;D &lt;x", "b": "<p>hi</p>", "c": "plain", "d": "x"}
