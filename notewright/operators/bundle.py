@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, norm, strip, text_lines
-from .notes import SECTIONS
+from .notes import SECTIONS, canonical_type
 
 #: Reserved names, exempt types, categories and patterns of the file format.
 RESERVED, EXEMPT, VERSION_KEY = ("index.md", "log.md"), ("source", "moc", "schema"), "okf_version"
@@ -31,14 +31,18 @@ def yaml_scalar(c: Column) -> Column:
     return F.substr(j, F.lit(6), F.length(j) - 6)
 
 
+def section_of(type_: Column) -> Column:
+    """Section of a note type, without regard to case; notes without a known type go to concepts."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv]), canonical_type(type_)), F.lit("concepts"))
+
+
 def rendered(merged: DataFrame, links: DataFrame, titles: DataFrame, timestamp: str) -> DataFrame:
     """(bundle, rel, text) of merged notes: front matter, title, body, related links, numbered citations.
 
     ``links`` are (vault, src, dst), ``titles`` (source, source_title). Links
     to notes that are not in ``merged`` are left out; listings are sorted.
     """
-    section = F.element_at(F.create_map(*[F.lit(x) for k, v in SECTIONS.items() for x in (k, v)]), F.col("type"))
-    notes = merged.withColumn("section", F.coalesce(section, F.lit("concepts")))
+    notes = merged.withColumn("section", section_of(F.col("type")))
     index = notes.select("vault", F.col("slug").alias("dst"), F.col("title").alias("dt"), F.col("description").alias("dd"), F.col("section").alias("ds"))
     line = F.concat(F.lit("- ["), F.coalesce("dt", F.lit("")), F.lit("](/"), "ds", F.lit("/"), "dst", F.lit(".md) — "), F.coalesce("dd", F.lit("")))
     rel = links.join(index, ["vault", "dst"]).groupBy("vault", F.col("src").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))).alias("related"))
@@ -61,10 +65,9 @@ def rendered(merged: DataFrame, links: DataFrame, titles: DataFrame, timestamp:
 
 
 def section_indexes(merged: DataFrame) -> DataFrame:
-    """(bundle, rel, text) of one sorted listing per section."""
-    section = F.element_at(F.create_map(*[F.lit(x) for k, v in SECTIONS.items() for x in (k, v)]), F.col("type"))
+    """(bundle, rel, text) of one sorted listing per section, of the notes that :func:`rendered` writes there."""
     line = F.concat(F.lit("- ["), F.coalesce("title", F.lit("")), F.lit("](/"), "section", F.lit("/"), "slug", F.lit(".md) — "), F.coalesce("description", F.lit("")))
-    per = merged.withColumn("section", section).filter("section is not null").groupBy("vault", "section").agg(F.array_sort(F.collect_list(F.struct("slug", line.alias("line")))).alias("l"))
+    per = merged.withColumn("section", section_of(F.col("type"))).groupBy("vault", "section").agg(F.array_sort(F.collect_list(F.struct("slug", line.alias("line")))).alias("l"))
     text = F.concat(F.lit("# "), "section", F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
     return per.select(F.col("vault").alias("bundle"), F.concat("section", F.lit("/index.md")).alias("rel"), text.alias("text"))
 

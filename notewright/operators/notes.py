@@ -31,9 +31,14 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
+def canonical_type(type_: Column) -> Column:
+    """The note type as SECTIONS writes it, whatever its case; null if there is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k in SECTIONS for x in (k.lower(), k)]), F.lower(type_))
+
+
 def validated(notes: DataFrame) -> DataFrame:
     """Adds canonical type, defaulted confidence and status, and ``errors``, the names of broken rules in order."""
-    canon = F.try_element_at(F.create_map(*[F.lit(x) for k in SECTIONS for x in (k.lower(), k)]), F.lower("type"))
+    canon = canonical_type(F.col("type"))
     conf, stat = (F.coalesce(blank_to_null(F.col(c)), F.lit(default)) for c, default in (("confidence", "medium"), ("status", "established")))
     blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
     rules = [

@@ -54,7 +54,7 @@ def coverage_gate(spark, d):
 
 def _files(spark, d):
     n = _notes(spark, d)
-    m = _merged(spark, d).join(nt.validated(n).select("vault", "slug", "canonical_type").groupBy("vault", "slug").agg(F.max("canonical_type").alias("canonical_type")), ["vault", "slug"], "left").withColumn("type", F.coalesce("canonical_type", "type"))
+    m = _merged(spark, d).withColumn("type", F.coalesce(nt.canonical_type(F.col("type")), "type"))
     titles = _src(spark, d).select(F.col("slug").alias("source"), F.col("title").alias("source_title"))
     return bd.rendered(m, nt.related_links(n, nt.alias_index(n)), titles, "2026-01-01T00:00:00Z")
 

@@ -1,12 +1,13 @@
 """Results that are whole: nothing is left out that the operators promise."""
 
 import random
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from notewright.operators import model_loops as ml, notes as nt
-from notewright.plans import work_queries as wq
+from notewright.plans import bundle_queries as bq, work_queries as wq
 from test_core import NOTE, SOURCE, _note
 
 
@@ -70,3 +71,13 @@ def test_readers_run_on_every_source(spark, tmp_path):
     d = _write(spark, tmp_path, raw_sources=([_raw("a", "R&amp;D &lt;x", "html"), _raw("b", "<p>hi</p>", "html"), _raw("c", "{plain}", "rtf"), _raw("d", "{\\rtf1 x}", "rtf")], RAW))
     assert {r.slug: r.text for r in wq.html_to_text(spark, d).collect()} == {"a": "R&D <x", "b": "\nhi", "c": "{plain}", "d": "{\\rtf1 x}"}
     assert {r.slug: r.text for r in wq.rtf_to_text(spark, d).collect()} == {"a": "R&amp;D &lt;x", "b": "<p>hi</p>", "c": "plain", "d": "x"}
+
+
+def test_indexes_list_every_file(spark, tmp_path):
+    """Oddly written, unknown and null types: each note's file stands in the index of its folder."""
+    types = ["Concept", "concept", "METHOD", "antiPattern", "gadget", None]
+    notes = [_note(i, f"n{i}x", type_=t) for i, t in enumerate(types)] + [_note(8, "two", type_="Entity"), _note(9, "two", type_="method")]
+    d = _write(spark, tmp_path, raw_sources=([_raw("s", "alpha beta gamma")], RAW), notes=(notes, NOTE))
+    files = {r.rel for r in bq.rendered_notes(spark, d).collect()}
+    listed = {x for r in bq.section_indexes(spark, d).collect() for x in re.findall(r"\]\(/([^)]*)\)", r.text)}
+    assert listed == files and {"concepts/n1x.md", "methods/n2x.md", "anti-patterns/n3x.md", "concepts/n4x.md", "concepts/n5x.md", "methods/two.md"} < files
