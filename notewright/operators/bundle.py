@@ -220,8 +220,12 @@ def bundle_notes(bundle: DataFrame) -> DataFrame:
 
 
 def match_gold(notes: DataFrame, gold: DataFrame) -> DataFrame:
-    """(bundle, concept, slug): the note of each gold concept (bundle, concept, keys), by its first key that names one, and that key's first note; slug null without one."""
-    g = gold.select("bundle", "concept", F.posexplode("keys").alias("p", "k")).select("bundle", "concept", "p", norm(F.col("k")).alias("key"))
+    """(bundle, concept, slug): the note of each gold concept, by its first key that names one, and that key's first note; slug null without one.
+
+    ``gold`` is (bundle, concept, keys), or rows (bundle, concept, p, k) with the keys k in the order of p.
+    """
+    rows = gold.select("bundle", "concept", F.posexplode("keys").alias("p", "k")) if "keys" in gold.columns else gold
+    g = rows.select("bundle", "concept", "p", norm(F.col("k")).alias("key"))
     n = notes.select("bundle", "slug", F.col("rel"), F.explode("keys").alias("key")).groupBy("bundle", "key").agg(F.min_by("slug", "rel").alias("slug"))
     hit = g.join(n, ["bundle", "key"]).groupBy("bundle", "concept").agg(F.min_by("slug", "p").alias("slug"))
     return gold.select("bundle", "concept").distinct().join(hit, ["bundle", "concept"], "left")

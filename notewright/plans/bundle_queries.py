@@ -72,10 +72,20 @@ def section_indexes(spark, d):
     return bd.section_indexes(_merged(spark, d))
 
 
+def _gold_pairs(spark, d):
+    """Distinct (bundle, a, b), a <= b, of slugs that a match row judged equal; as in the SQL, a slug judged equal to itself is a pair (no link can meet it)."""
+    m = table(spark, d, "note_matches").filter("same and slug_a is not null and slug_b is not null")
+    return m.select(F.col("vault").alias("bundle"), F.least("slug_a", "slug_b").alias("a"), F.greatest("slug_a", "slug_b").alias("b")).distinct()
+
+
 def _gold(spark, d):
-    """Gold concepts: every slug that a match row judged equal names, with the other side as its alias."""
+    """Gold concepts (bundle, concept, p, k): every slug that a match row judged equal names, on either side, with itself as its first key and every partner as a further one, in order."""
     m = table(spark, d, "note_matches").filter("same and slug_a is not null and slug_b is not null")
-    return m.groupBy(F.col("vault").alias("bundle"), F.col("slug_a").alias("concept")).agg(F.min("slug_b").alias("o")).select("bundle", "concept", F.array("concept", "o").alias("keys"))
+    own = m.select(F.col("vault").alias("bundle"), F.explode(F.array("slug_a", "slug_b")).alias("concept")).distinct()
+    pairs = _gold_pairs(spark, d).filter("a <> b")
+    rank = lambda n, k: F.struct(F.lit(n).alias("n"), F.col(k).alias("k")).alias("p")
+    both = [pairs.select("bundle", F.col(x).alias("concept"), rank(1, y), F.col(y).alias("k")) for x, y in (("a", "b"), ("b", "a"))]
+    return own.select("bundle", "concept", rank(0, "concept"), F.col("concept").alias("k")).unionByName(both[0]).unionByName(both[1])
 
 
 def _note_keys(spark, d):
@@ -93,9 +103,7 @@ def gold_recall(spark, d):
 def link_recall(spark, d):
     n = _notes(spark, d)
     edges = nt.related_links(n, nt.alias_index(n)).withColumnRenamed("vault", "bundle")
-    g = _gold(spark, d)
-    pairs = g.select("bundle", F.col("concept").alias("a")).join(g.select("bundle", F.col("concept").alias("b"), F.element_at("keys", 2).alias("a")), ["bundle", "a"])
-    return bd.link_recall(bd.match_gold(_note_keys(spark, d), g), pairs, edges)
+    return bd.link_recall(bd.match_gold(_note_keys(spark, d), _gold(spark, d)), _gold_pairs(spark, d), edges)
 
 
 QUERIES = {f.__name__: f for f in (front_matter_fields, note_links, dangling_links, related_section_links, lint_findings, lint_summary, coverage_gate, rendered_notes, rendered_lint, section_indexes, gold_recall, link_recall)}

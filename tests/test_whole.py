@@ -81,3 +81,21 @@ def test_indexes_list_every_file(spark, tmp_path):
     files = {r.rel for r in bq.rendered_notes(spark, d).collect()}
     listed = {x for r in bq.section_indexes(spark, d).collect() for x in re.findall(r"\]\(/([^)]*)\)", r.text)}
     assert listed == files and {"concepts/n1x.md", "methods/n2x.md", "anti-patterns/n3x.md", "concepts/n4x.md", "concepts/n5x.md", "methods/two.md"} < files
+
+
+def test_gold_has_all_partners(spark, tmp_path):
+    """A hub of many partners, partners that stand on one side only, repeated, reversed and self pairs; against brute force."""
+    pairs = [("hub", f"p{i}") for i in range(5)] + [("p9", "hub"), ("p1", "hub"), ("hub", "p1"), ("solo", "solo"), ("x", "y")]
+    matches = [(i, "v", a, b, True) for i, (a, b) in enumerate(pairs)] + [(90, "v", "no", "x", False), (91, "v", None, "x", True)]
+    notes = [_note(1, "p4", related=["p9"]), _note(2, "p9"), _note(3, "x", related=["p4", "y"]), _note(4, "y"), _note(5, "solo")]
+    d = _write(spark, tmp_path, note_matches=(matches, "match_id long, vault string, slug_a string, slug_b string, same boolean"), notes=(notes, NOTE))
+    slugs, edges = {n[3] for n in notes}, {frozenset(e) for e in (("p4", "p9"), ("x", "p4"), ("x", "y"))}
+    partners = {}
+    for a, b in pairs:
+        partners.setdefault(a, set()).add(b)
+        partners.setdefault(b, set()).add(a)
+    note = {c: next((k for k in [c, *sorted(ks - {c})] if k in slugs), None) for c, ks in partners.items()}
+    links = {frozenset(p) for p in pairs}
+    g, r = bq.gold_recall(spark, d).first(), bq.link_recall(spark, d).first()
+    assert (g.found, g.concepts) == (sum(v is not None for v in note.values()), len(note)) == (6, 10)
+    assert (r.linked, r.links) == (sum({note[k] for k in e} in edges for e in links), len(links)) == (2, 8)
