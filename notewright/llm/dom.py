@@ -1,39 +1,68 @@
-"""A tree of everything in a text that may be markup, of four languages at once."""
+"""A tree of everything in a text that may be markup, of four languages at once. Constructs have no greatest length."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 _P = r"(?:(?!\n[ \t]*\n)[\s\S])"  # any character of one paragraph
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)(/?)>")
+
+
+class _Between:
+    """From an opener to the next closer behind at least one character, at any distance (of one paragraph if so asked).
+
+    Openers and closers are listed once and met by binary search, so that unclosed openers cost nothing.
+    """
+
+    def __init__(self, opener: str, closer: str, paragraph: bool = True) -> None:
+        self.opener, self.closer, self.paragraph = re.compile(opener), re.compile(closer), paragraph
+
+    def spans(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(start, a, b, end) of all matches, none overlapping."""
+        closers = [m.span() for m in self.closer.finditer(text)]
+        starts = [a for a, _ in closers]
+        breaks = [m.start() for m in _BREAK.finditer(text)] if self.paragraph else []
+        at = 0
+        while (m := self.opener.search(text, at)) and (k := bisect_left(starts, m.end() + 1)) < len(closers):
+            p = bisect_left(breaks, m.end())
+            if p < len(breaks) and breaks[p] < closers[k][0]:
+                at = m.start() + 1
+                continue
+            yield m.start(), m.end(), *closers[k]
+            at = closers[k][1]
+
+
+_BREAK = re.compile(r"\n(?=[ \t]*\n)")
 #: (type, kind, trigger, pattern with groups open, inner, close or none); earlier ones win where two cross.
 _PATTERNS = [
     ("comment", "html", "<!--", re.compile(r"<!--[\s\S]*?-->")),
     ("charref", "html", "&", re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")),
-    ("fence", "markdown", "```", re.compile(r"^(?P<o>[ \t]*(?P<f>```+|~~~+)[ \t]*[\w+#-]*[ \t]*\n)(?P<i>[\s\S]*?)(?P<c>^[ \t]*(?P=f)[ \t]*)$", re.M)),
+    ("fence", "markdown", ("```", "~~~"), re.compile(r"^(?P<o>[ \t]*(?P<f>```+|~~~+)[ \t]*[\w+#-]*[ \t]*\n)(?P<i>[\s\S]*?)(?P<c>^[ \t]*(?P=f)[ \t]*)$", re.M)),
     ("env", "latex", "\\begin", re.compile(r"(?P<o>\\begin\{(?P<n>[A-Za-z]+\*?)\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*)(?P<i>[\s\S]*?)(?P<c>\\end\{(?P=n)\})")),
-    ("display", "latex", "\\[", re.compile(r"(?P<o>\\\[)(?P<i>[\s\S]{1,2000}?)(?P<c>\\\])")),
-    ("display", "latex", "$$", re.compile(r"(?P<o>\$\$)(?P<i>[^$]{1,2000}?)(?P<c>\$\$)")),
+    ("display", "latex", "\\[", _Between(r"\\\[", r"\\\]", paragraph=False)),
+    ("display", "latex", "$$", re.compile(r"(?P<o>\$\$)(?P<i>[^$]++)(?P<c>\$\$)")),
     ("wtable", "wiki", "{|", re.compile(r"^(?P<o>[ \t]*\{\|[^\n]*)(?P<i>[\s\S]*?)(?P<c>^[ \t]*\|\})", re.M)),
     ("code", "markdown", "`", re.compile(rf"(?<!`)(?P<o>(?P<f>`{{1,2}})(?!`))(?P<i>{_P}+?)(?P<c>(?<!`)(?P=f)(?!`))")),
-    ("template", "wiki", "{{", re.compile(r"(?P<o>\{\{)(?P<i>[^{}]{1,2000})(?P<c>\}\})")),
-    ("wlink", "wiki", "[[", re.compile(r"(?P<o>\[\[)(?P<i>[^\[\]]{1,500})(?P<c>\]\])")),
-    ("image", "markdown", "![", re.compile(r"(?P<o>!\[)(?P<i>[^\[\]]{0,500})(?P<c>\]\([^()\n]*(?:\n[^()\n]+)?\))")),
-    ("link", "markdown", "](", re.compile(r"(?P<o>(?<!!)\[)(?P<i>[^\[\]]{1,500})(?P<c>\]\([^()\n]*(?:\n[^()\n]+)?\))")),
+    ("template", "wiki", "{{", re.compile(r"(?P<o>\{\{)(?P<i>[^{}]++)(?P<c>\}\})")),
+    ("wlink", "wiki", "[[", re.compile(r"(?P<o>\[\[)(?P<i>[^\[\]]++)(?P<c>\]\])")),
+    ("image", "markdown", "![", re.compile(r"(?P<o>!\[)(?P<i>[^\[\]]*+)(?P<c>\]\([^()\n]*(?:\n[^()\n]+)?\))")),
+    ("link", "markdown", "](", re.compile(r"(?P<o>(?<!!)\[)(?P<i>[^\[\]]++)(?P<c>\]\([^()\n]*(?:\n[^()\n]+)?\))")),
     ("mdtable", "markdown", "|", re.compile(r"(?:^[^|\n]*\|[^\n]*\n)?^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$(?:\n[^|\n]*\|[^\n]*$)*", re.M)),
     ("task", "markdown", "[", re.compile(r"^[ \t]*[-*+] \[[ xX]\](?=[ \t])", re.M)),
     ("heading", "markdown", "#", re.compile(r"^(?P<o>[ \t]{0,3}#{1,6}[ \t]+)(?P<i>[^\s#][^\n]*?)(?P<c>[ \t]*#*[ \t]*)$", re.M)),
     ("wheading", "wiki", "=", re.compile(r"^(?P<o>(?P<f>={1,6})[ \t]*)(?P<i>[^=\s][^\n]*?)(?P<c>[ \t]*(?P=f))[ \t]*$", re.M)),
     ("command", "latex", "\\", re.compile(r"(?P<o>\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?)(?P<i>(?:\{(?:[^{}]|\{[^{}]*\})*\})*)(?P<c>)")),
-    ("math", "latex", "\\(", re.compile(rf"(?P<o>\\\()(?P<i>{_P}{{1,500}}?)(?P<c>\\\))")),
-    ("math", "latex", "$", re.compile(r"(?P<o>(?<![\\$])\$(?!\$))(?P<i>[^$\n]{1,200}(?:\n[^$\n]{1,200})?)(?P<c>(?<!\\)\$(?!\$))")),
+    ("math", "latex", "\\(", _Between(r"\\\(", r"\\\)")),
+    ("math", "latex", "$", re.compile(r"(?P<o>(?<![\\$])\$(?!\$))(?P<i>(?:(?!\n[ \t]*\n)[^$])++)(?P<c>(?<!\\)\$(?!\$))")),
     ("wemph", "wiki", "''", re.compile(rf"(?P<o>(?P<f>'{{2,5}})(?=[^\s']))(?P<i>(?:(?!\n[ \t]*\n)[^'])(?:(?!'')(?!\n[ \t]*\n)[\s\S])*?)(?P<c>(?<=\S)(?P=f))")),
-    ("strike", "markdown", "~~", re.compile(rf"(?P<o>~~(?=[^\s~]))(?P<i>{_P}{{1,500}}?)(?P<c>(?<=[^\s~])~~)")),
-    ("strong", "markdown", "**", re.compile(r"(?P<o>(?<!\*)\*\*(?=[^\s*]))(?P<i>(?:(?!\n[ \t]*\n)[^*]){1,500}?)(?P<c>(?<=[^\s*])\*\*(?!\*))")),
-    ("strong", "markdown", "__", re.compile(r"(?P<o>(?<!_)__(?=[^\s_]))(?P<i>(?:(?!\n[ \t]*\n)[\s\S]){1,500}?)(?P<c>(?<=[^\s_])__(?!_))")),
-    ("emph", "markdown", "*", re.compile(r"(?P<o>(?<!\*)\*(?=[^\s*]))(?P<i>(?:(?!\n[ \t]*\n)[^*]){1,500}?)(?P<c>(?<=[^\s*])\*(?!\*))")),
-    ("emph", "markdown", "_", re.compile(r"(?P<o>(?<!_)_(?=[^\s_]))(?P<i>(?:(?!\n[ \t]*\n)[^_]){1,500}?)(?P<c>(?<=[^\s_])_(?!_))")),
+    ("strike", "markdown", "~~", _Between(r"~~(?=[^\s~])", r"(?<=[^\s~])~~")),
+    ("strong", "markdown", "**", re.compile(r"(?P<o>(?<!\*)\*\*(?=[^\s*]))(?P<i>(?:(?!\n[ \t]*\n)[^*])++)(?P<c>(?<=[^\s*])\*\*(?!\*))")),
+    ("strong", "markdown", "__", _Between(r"(?<!_)__(?=[^\s_])", r"(?<=[^\s_])__(?!_)")),
+    ("emph", "markdown", "*", re.compile(r"(?P<o>(?<!\*)\*(?=[^\s*]))(?P<i>(?:(?!\n[ \t]*\n)[^*])++)(?P<c>(?<=[^\s*])\*(?!\*))")),
+    ("emph", "markdown", "_", re.compile(r"(?P<o>(?<!_)_(?=[^\s_]))(?P<i>(?:(?!\n[ \t]*\n)[^_])++)(?P<c>(?<=[^\s_])_(?!_))")),
 ]
 TYPES = list(dict.fromkeys(["tag", *(p[0] for p in _PATTERNS)]))
 KINDS = ("html", "markdown", "wiki", "latex")
@@ -70,20 +99,22 @@ def _tags(text: str) -> list[Node]:
     """Elements: start tags paired with the nearest fitting end tag; the others stand alone."""
     out: list[Node] = []
     open_: list[Node] = []
+    by_name: dict[str, list[int]] = {}  # places in open_, so that an end tag finds its start at any distance
     for m in _TAG.finditer(text):
         name, close = m[2].lower(), m[1] == "/"
         if close:
-            for k in range(len(open_) - 1, max(-1, len(open_) - 40), -1):
-                if open_[k].name == name:
-                    del open_[k + 1 :]
-                    n = open_.pop()
-                    n.b, n.end = m.start(), m.end()
-                    break
+            if by_name.get(name):
+                k = by_name[name][-1]
+                n = open_[k]
+                n.b, n.end = m.start(), m.end()
+                while len(open_) > k:
+                    by_name[open_.pop().name].pop()
             else:
                 out.append(Node("tag", "html", m.start(), m.end(), m.end(), m.end(), name, "/"))
         else:
             out.append(n := Node("tag", "html", m.start(), m.end(), m.end(), m.end(), name, m[3].strip()))
             if name not in VOID and not m[4]:
+                by_name.setdefault(name, []).append(len(open_))
                 open_.append(n)
     return out
 
@@ -96,7 +127,10 @@ def tree(text: str) -> list[Node]:
     """Nodes in document order, parents first. Where two cross, the one found later is left out."""
     found: list[Node] = _tags(text) if "<" in text else []
     for type_, kind, trigger, pattern in _PATTERNS:
-        if trigger not in text or _CLOSERS.get(type_, "") not in text:
+        if not any(t in text for t in ((trigger,) if isinstance(trigger, str) else trigger)) or _CLOSERS.get(type_, "") not in text:
+            continue
+        if isinstance(pattern, _Between):
+            found += [Node(type_, kind, *at) for at in pattern.spans(text)]
             continue
         for m in pattern.finditer(text):
             g = m.groupdict()
