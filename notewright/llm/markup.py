@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,35 +42,68 @@ def _class(ch: str) -> int:
     return 4 if ch in "([{\"'“‘" else 5 if ch in ")]}.,;:!?\"'”’" else 6 if ch in "\\/:" else 7
 
 
+class _Counts:
+    """Prefix sums over one text, so that a node's whole content costs the same at any length."""
+
+    SETS = {"letter": str.isalpha, "digit": str.isdigit, "space": " \n".__contains__, "blank": str.isspace, "break": "\n".__contains__, "script": "^_\\{}".__contains__, "sign": "=+<>".__contains__, "{": "{".__contains__, "|": "|".__contains__, "/": "/".__contains__, ".": ".".__contains__}
+
+    def __init__(self, text: str) -> None:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        values, at = np.unique(code, return_inverse=True)
+        chars = [chr(v) for v in values]
+        is_ = {k: np.array([f(c) for c in chars], bool)[at] if chars else np.zeros(0, bool) for k, f in self.SETS.items()}
+        latin = np.array(["a" <= c.lower() <= "z" and c.isascii() for c in chars], bool)[at] if chars else np.zeros(0, bool)
+        n = len(code)
+        gap, drive = np.zeros(n, bool), np.zeros(n, bool)  # a blank between two letters and two letters; the letter of "C:\\"
+        if n > 4:
+            gap[2:-2] = latin[:-4] & latin[1:-3] & (code[2:-2] == 32) & latin[3:-1] & latin[4:]
+        if n > 2:
+            drive[:-2] = latin[:-2] & (code[1:-1] == ord(":")) & (code[2:] == ord("\\"))
+        # compact arrays whose single numbers are read fast
+        flat = lambda first, v: array("i", np.concatenate(([first], v)).astype(np.int32).tobytes())
+        self.sums = {k: flat(0, np.cumsum(v, dtype=np.int32)) for k, v in (is_ | {"gap": gap, "drive": drive}).items()}
+        place = np.arange(n, dtype=np.int32)
+        self.last = {k: flat(-1, np.maximum.accumulate(np.where(v, place, -1))) for k, v in (("break", is_["break"]), ("blank", is_["blank"]), ("other", ~latin))}
+
+    def of(self, kind: str, a: int, b: int) -> int:
+        """How many characters of a kind are in [a, b)."""
+        return self.sums[kind][b] - self.sums[kind][a] if b > a else 0
+
+
 def features(text: str, nodes: list[Node]) -> list[list[float]]:
     """One row per node: type, name and attribute tokens, neighbours, content, subtree density, depth, siblings."""
+    if not nodes:
+        return []
     by_type: dict[str, int] = {}
+    among: dict[tuple[int, str], int] = {}
     for n in nodes:
         by_type[n.type] = by_type.get(n.type, 0) + 1
-    out = []
+        among[n.parent, n.type] = among.get((n.parent, n.type), 0) + 1
+    counts, out = _Counts(text), []
     for n in nodes:
-        inner = text[n.a : n.b][:400]
-        size = n.b - n.a
-        letters = sum(c.isalpha() for c in inner)
-        digits = sum(c.isdigit() for c in inner)
-        spaces = inner.count(" ") + inner.count("\n")
+        a, b, size = n.a, n.b, n.b - n.a
+        has = lambda kind: counts.of(kind, a, b)  # noqa: B023, E731
+        first, last = text[a : min(a + 1, b)], text[b - 1 : b] if b > a else ""
         before, after = text[n.start - 1 : n.start] if n.start else "", text[n.end : n.end + 1]
-        near = max(0, n.start - 200)
-        line = text[max(text.rfind("\n", near, n.start) + 1, near) : n.start]  # of a long line its end
-        siblings = nodes[n.parent].children if n.parent >= 0 else ()
-        same = sum(nodes[i].type == n.type for i in siblings[:200])
+        line = counts.last["break"][n.start] + 1
+        siblings = len(nodes[n.parent].children) if n.parent >= 0 else 0
+        same = among[n.parent, n.type] if n.parent >= 0 else 0
         covered = sum(nodes[i].end - nodes[i].start for i in n.children)
         known = n.name in HTML_NAMES if n.type == "tag" else n.name.rstrip("*") in LATEX_NAMES if n.type == "command" else False
         head = text[n.start : n.start + 3]
+        # what stands right before: a path with a drive since the last blank, a backslash and letters, or a slash
+        path = counts.of("drive", max(line, counts.last["blank"][n.start] + 1), n.start - 2)
+        other = counts.last["other"][n.start]
+        named = line <= other < n.start - 1 and text[other] == "\\"
         out.append([
-            TYPES.index(n.type), n.depth, len(nodes), by_type[n.type], same, len(siblings), len(n.children),
-            size, letters / max(1, len(inner)), digits / max(1, len(inner)), spaces, covered / max(1, size),
-            inner[:1].isspace(), inner[-1:].isspace(), inner[:1].isdigit(), inner[-1:].isalnum(), "\n" in inner,
-            _class(before), _class(after), not line.strip(), len(line),
+            TYPES.index(n.type), n.depth, len(nodes), by_type[n.type], same, siblings, len(n.children),
+            size, has("letter") / max(1, size), has("digit") / max(1, size), has("space"), covered / max(1, size),
+            first.isspace(), last.isspace(), first.isdigit(), last.isalnum(), has("break") > 0,
+            _class(before), _class(after), counts.of("blank", line, n.start) == n.start - line, n.start - line,
             known, "=" in n.attrs, bool(n.attrs) and "=" not in n.attrs and n.attrs != "/", n.name in VOID, len(n.name),
-            any(c in inner for c in "^_\\{}"), any(c in inner for c in "=+<>"), "{" in inner, "|" in inner, "/" in inner, "." in inner,
-            bool(re.search(r"[A-Za-z]{2,} [A-Za-z]{2,}", inner)), text[n.end - 1 : n.end] in ")}>;", head.count(head[:1]),
-            before.isalnum() and after.isalnum(), bool(re.search(r"[A-Za-z]:\\[^\s]*$|\\[A-Za-z]+$|/$", line[-40:])), n.b > n.a and n.a < n.end,
+            has("script") > 0, has("sign") > 0, has("{") > 0, has("|") > 0, has("/") > 0, has(".") > 0,
+            counts.of("gap", a + 2, b - 2) > 0, text[n.end - 1 : n.end] in ")}>;", head.count(head[:1]),
+            before.isalnum() and after.isalnum(), path > 0 or named or (before == "/" and line < n.start), b > a and a < n.end,
         ])
     return out
 
@@ -357,8 +391,8 @@ def clean_sources(df: DataFrame, id_col: str = "slug", text_col: str = "raw", te
     is fitted on ``texts`` made texts (a fixed bound) and sent to the tasks.
     Copies of a source count once, of differing texts the greatest; a null
     text has no kinds and stays null, an empty one stays empty; a null id is
-    left out; other columns are ignored. Nodes are found in whole texts; the
-    content of one node that its features look at is bounded.
+    left out; other columns are ignored. Nodes are found in whole texts, and
+    their features count whole contents.
     """
     fitted = df.sparkSession.sparkContext.broadcast(model(texts, seed))
     one = df.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("source")).agg(F.max(text_col).alias("raw"))

@@ -30,3 +30,15 @@ def test_unclosed_openers_stay_linear():
         start = time.time()
         dom.tree(x * 40_000 + "\\] \\) x~~ x__ }} ]] $$")
         assert time.time() - start < 20, x
+
+
+def test_features_count_whole_contents():
+    """What stands beyond the 400th character of an element, its 200th sibling and the 200th character of a line."""
+    text = "y" * 500 + " <p>" + "x" * 600 + " 12 ab cd {|/.=</p>\n<div>" + "<b>x</b>" * 300 + "</div>"
+    nodes = dom.tree(text)
+    rows = markup.features(text, nodes)
+    p, b = (next(i for i, n in enumerate(nodes) if n.name == name) for name in ("p", "b"))
+    inner = text[nodes[p].a : nodes[p].b]
+    assert rows[p][7:11] == [len(inner), sum(c.isalpha() for c in inner) / len(inner), sum(c.isdigit() for c in inner) / len(inner), inner.count(" ")]
+    assert not rows[p][15] and all(rows[p][25:32]) and rows[p][32] and rows[p][20] == 501  # the last character, marks, two words, the line before
+    assert rows[b][4] == rows[b][5] == 300
