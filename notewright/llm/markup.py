@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,8 @@ LATEX_NAMES = set(
 )
 #: Labelled training texts made, and the seed: the whole training set is bounded by them.
 TRAIN_TEXTS, SEED = 4000, 17
+#: Features that attribute tokens are hashed to.
+TOKEN_BUCKETS = 12
 
 
 def _class(ch: str) -> int:
@@ -70,6 +73,20 @@ class _Counts:
         return self.sums[kind][b] - self.sums[kind][a] if b > a else 0
 
 
+@lru_cache(65_536)
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode()) % TOKEN_BUCKETS
+
+
+def _attribute_tokens(n: Node) -> list[int]:
+    """How many tokens of a node's name and attribute names fall in each bucket."""
+    out = [0] * TOKEN_BUCKETS
+    for token in [n.name, *(re.findall(r"([A-Za-z_:][\w:-]*)\s*=", n.attrs.lower()) if n.attrs else ())]:
+        if token:
+            out[_bucket(token)] += 1
+    return out
+
+
 def features(text: str, nodes: list[Node]) -> list[list[float]]:
     """One row per node: type, name and attribute tokens, neighbours, content, subtree density, depth, siblings."""
     if not nodes:
@@ -104,6 +121,7 @@ def features(text: str, nodes: list[Node]) -> list[list[float]]:
             has("script") > 0, has("sign") > 0, has("{") > 0, has("|") > 0, has("/") > 0, has(".") > 0,
             counts.of("gap", a + 2, b - 2) > 0, text[n.end - 1 : n.end] in ")}>;", head.count(head[:1]),
             before.isalnum() and after.isalnum(), path > 0 or named or (before == "/" and line < n.start), b > a and a < n.end,
+            *_attribute_tokens(n),
         ])
     return out
 
@@ -140,19 +158,24 @@ class _Maker:
             lambda: r.choice(("<br>", "<br/>", "<BR/>", "<br />", f'<img src="{w()}.png">', "<hr>")),
             lambda: r.choice(("&amp;", "&lt;", "&nbsp;", "&#8217;", "&#x2019;", "&quot;", "&eacute;", "&mdash;", f"&lt;{w()}&gt;")),
             lambda: f"<!-- {ws()} -->",
-        ]
+            lambda: f"<a href={chr(34)}https://{w()}.org/{w()}?{w()}={n()}{chr(34)} title='{w()}'>{ws()}</a>", lambda: f"<span style={chr(34)}{w()}: {w()}; {w()}: {n()}px{chr(34)}><{(t := r.choice(('b', 'i', 'q', 's')))}>{ws(2, 6)}</{t}></span>",
+            lambda: r.choice((f"<input type={w()} disabled>", f"<img alt={chr(34)}{ws()}{chr(34)} src={w()}.jpg width={n()}>", f"</{r.choice(('p', 'div', 'span', 'b'))}>")),
+        ]
         md = [
             lambda: f"**{ws()}**", lambda: f"__{ws()}__", lambda: f"*{ws(1, 2)}*", lambda: f"_{ws(1, 2)}_", lambda: f"~~{ws()}~~", lambda: f"***{w()}***",
             lambda: f"`{r.choice((ws(1, 3, '_'), w() + '()', ws(1, 2), w() + '.' + w()))}`", lambda: f"[{ws()}](/{w()}/{w()}.md)", lambda: f"[{ws()}](https://{w()}.org/{w()})", lambda: f"![{ws()}]({w()}/{w()}.png)",
+            lambda: f"**{ws()} *{w()}* {ws()}**", lambda: f"***{ws()}***", lambda: f"[![{w()}]({w()}.svg)](https://{w()}.org)", lambda: f"[{ws()}](https://{w()}.org/{w()} {chr(34)}{ws()}{chr(34)})", lambda: f"**{self.sentence()}**", lambda: f"*{self.sentence()}*", lambda: f"[{w()} [{n()}]](/{w()})",
         ]
         wiki = [
             lambda: f"[[{ws()}]]", lambda: f"[[{ws()}|{ws()}]]", lambda: f"[[File:{w()}.png|thumb|{ws()}]]", lambda: f"[[Category:{w()}]]", lambda: f"{{{{{w()}|{ws()}}}}}", lambda: f"{{{{{w()}|{w()}={n()}}}}}",
             lambda: f"{{{{{w()} {w()}|title={ws()}|page={n()}}}}}", lambda: f"''{ws(1, 3)}''", lambda: f"'''{ws(1, 3)}'''", lambda: f"{{{{{w()}}}}}",
+            lambda: f"{{{{{w()}|{w()}={{{{{w()}|{ws()}}}}}|{w()}={n()}}}}}", lambda: f"[[File:{w()}.jpg|thumb|{n()}px|{ws()} [[{w()}]] {ws()}]]", lambda: f"'''''{ws()}'''''", lambda: f"'''{w()} ''{w()}'' {w()}'''", lambda: f"[[{w()}#{ws()}|{w()}]]", lambda: f"[[{w()}:{ws()}]]",
         ]
         math = lambda: r.choice((f"{var}_{{{r.randint(1, 9)}}} + y^2 = z", f"{var}_{r.randint(1, 9)} \\le b", f"{var}^2", f"{var}", f"{var}={r.randint(1, 99)}", f"\\alpha + {var}", f"f({var})", f"{var} < {r.randint(1, 9)}", f"\\frac{{1}}{{{r.randint(2, 9)}}}"))
         latex = [
             lambda: f"\\footnote{{{ws(1, 4)}.}}", lambda: f"~\\cite{{{w()}{n()}}}", lambda: f"\\{r.choice(('emph', 'textbf', 'textit', 'ref', 'label', 'url', 'texttt'))}{{{r.choice((ws(1, 2), 'sec:' + w()))}}}",
             lambda: f"${math()}$", lambda: f"\\({math()}\\)", lambda: f"\\{r.choice(('ldots', 'noindent', 'newline', 'alpha', 'quad'))}", lambda: f"\\{r.choice(('emph', 'footnote', w()))}{{{ws(2, 5)}}}",
+            lambda: f"\\textbf{{\\emph{{{ws()}}} {ws()}}}", lambda: f"\\cite[p.~{n()}]{{{w()}}}", lambda: f"$\\mathbb{{R}}^{{{var}}}$", lambda: f"${var}_1, \\ldots, {var}_n$", lambda: f"\\footnote{{{ws()} \\textit{{{ws()}}} {ws()}}}", lambda: f"\\href{{https://{w()}.org}}{{{ws()}}}", lambda: f"$O({var} \\log {var})$", lambda: (e := r.choice(("$", "$ "))) + r.choice((" + ", ", ", " = ", " - ")).join(math() for _ in range(r.randint(2, 40))) + e[::-1], lambda: f"${var} \\in {var.upper()}$",
         ]
         money = lambda: f"${n()}{r.choice(('', '.50', ',000', ' million'))}"
         prose = [
@@ -161,6 +184,10 @@ class _Maker:
             lambda: f"{r.choice('CDE')}:\\{w().title()}\\{w()}", lambda: f"C:\\{w()}\\{w()}\\{w()}.txt", lambda: f"\\\\{w()}\\{w()}", lambda: f"{w()}[{n()}][{n()}]", lambda: f"{w()}[[{n()}]]", lambda: f"[Ch {n()}, p.{n()}]", lambda: f"{w()}[{n()}](x)" if r.random() < 0.3 else f"[{n()}] ({ws()})",
             lambda: f"#{n()}", lambda: f"# {n()}" if r.random() < 0.2 else f"C# and F#", lambda: f"{w()} == {w()}, {w()} = {w()}", lambda: f"R&D; {w()} & {w()}", lambda: f"AT&T", lambda: f"~{n()} to ~{n()}", lambda: f"~~{n()} and {n()}~~" if r.random() < 0.1 else f"~/{w()}/{w()}",
             lambda: f"{n()}'{n()}''", lambda: f"5'' by {n()}''", lambda: f"{w()} | {w()}", lambda: f"/{w()}/{w()}", lambda: f"{w()}@{w()}.org", lambda: f"{{{w()}}}", lambda: f"{w()} -> {w()} <- {w()}", lambda: f"<{n()}>", lambda: f"<{w()}@{w()}.org>", lambda: f"2^{n()} or x_{r.randint(1, 9)}",
+            lambda: f"{w().title()}<{w().title()}>", lambda: f"{w().title()}<{w()}, {w()}>", lambda: f"${w().upper()}/{w()} and ${w().upper()}", lambda: f"${{{w()}}}", lambda: f"{w()}(*{w()}, **{w()})", lambda: f"{w()} *{w()}, *{w()};", lambda: f"{n()}**{n()} and {n()}**{r.randint(1, 9)}",
+            lambda: f"{{{chr(34)}{w()}{chr(34)}: {{{chr(34)}{w()}{chr(34)}: {n()}}}}}", lambda: f"[[{n()}, {n()}], [{n()}, {n()}]]", lambda: f"%{w().upper()}%\\{w()}", lambda: f"{chr(34)}{w()}\\n{w()}{chr(34)}", lambda: f"^{w()}.*{w()}$", lambda: f"\\d+\\s*{w()}", lambda: f"{w()} = ''", lambda: f"'' and ''",
+            lambda: f"{w()}*, {w()}*", lambda: f"#{w()} #{w()}", lambda: f"{w()} || {w()} | {w()}", lambda: f"--{w()}={w()}", lambda: f"{w()} <= {n()} => {w()}", lambda: f"<{n()} or >{n()}", lambda: f"______", lambda: f"{w()}[{w()}({n()})]", lambda: f"({w()})[{n()}]", lambda: f"{w()}[{var}][{var}+1]",
+            lambda: f"{n()}~{n()}", lambda: f"${n()}k-${n()}k", lambda: f"{w()} & {w()}; {w()}", lambda: f"{w()}_{r.randint(1, 9)}_{r.randint(1, 9)}", lambda: f"{w()}.__{w()}__.{w()}", lambda: f"\'{w()}\' ''{w()}",
         ]
         kind, pool = r.choice((("html", html_), ("markdown", md), ("wiki", wiki), ("latex", latex), ("", prose), ("", prose), ("", prose)))
         got = r.choice(pool)()
@@ -188,8 +215,24 @@ class _Maker:
             lambda: ("latex", f"\\{r.choice(('section', 'subsection', 'chapter'))}{{{ws()}}}\n\\label{{sec:{w()}}}"),
             lambda: ("latex", f"$$\n\\sum_{{i=1}}^{{{r.randint(2, 9)}}} i^2\n$$"),
             lambda: ("latex", f"\\[\nE = {self.num()} \\cdot m\n\\]"),
-            lambda: ("", f"{w()} == {w()} compares, {w()} = {w()} assigns."),
-            lambda: ("", f"= {w()} assigns, and {w()} ="),
+            lambda: ("html", f"<div class={chr(34)}{w()} {w()}{chr(34)}>\n  <p>{self.sentence()}</p>\n  <ol>\n" + "\n".join(f"    <li>{ws()}</li>" for _ in rows) + "\n  </ol>\n</div>"),
+            lambda: ("html", "<table>\n" + f"<tr><th>{w()}</th><th>{w()}</th></tr>\n" + "\n".join(f"<tr><td>{w()}</td><td>{self.num()}</td></tr>" for _ in rows) + "\n</table>"),
+            lambda: ("html", f"<{(t := r.choice(('script', 'style')))}>\n{w()} {{ {w()}: {w()}; }}\n</{t}>"),
+            lambda: ("html", f"<!--\n{ws()}\n{self.sentence()}\n-->"),
+            lambda: ("markdown", f"~~~{r.choice(('', 'js'))}\n{w()} = {w()} * {self.num()} * {w()};\n~~~"),
+            lambda: ("markdown", f"| {w()} | {w()} | {w()} |\n| :--- | ---: | :-: |\n" + "\n".join(f"| {w()} | **{w()}** | {self.num()} |" for _ in rows)),
+            lambda: ("wiki", "{{" + w() + "\n" + "\n".join(f"| {w()} = {ws()}" for _ in rows) + "\n}}"),
+            lambda: ("wiki", "{|\n|+ " + ws() + f"\n! {w()} !! {w()}\n|-\n" + "\n|-\n".join(f"| {w()}\n| '''{w()}'''" for _ in rows) + "\n|}"),
+            lambda: ("latex", "\\begin{enumerate}\n" + "\n".join(f"\\item {ws()} \\emph{{{w()}}}" for _ in rows) + "\n\\end{enumerate}"),
+            lambda: ("latex", "\\begin{figure}[h]\n\\centering\n\\includegraphics[width=3cm]{" + w() + "}\n\\caption{" + ws() + "}\n\\label{fig:" + w() + "}\n\\end{figure}"),
+            lambda: ("latex", "\\begin{tabular}{ll}\n" + "\n".join(f"{w()} & {self.num()} \\\\" for _ in rows) + "\n\\end{tabular}"),
+            lambda: ("latex", "\\begin{align}\n" + f"{w()[0]} &= \\sum_{{k}} k^2 \\\\\n &\\leq {self.num()}" + "\n\\end{align}"),
+            lambda: ("latex", "\\begin{verbatim}\n" + f"{w()}[{self.num()}] = *{w()}" + "\n\\end{verbatim}"),
+            lambda: ("", f"{w()} == {w()}, whereas {w()} = {self.num()} sets it."),
+            lambda: ("", f"= {ws(1, 2)} ends at {w()} ="),
+            lambda: ("", f"{r.choice(('* * *', '***', '-----', '=====', '_____'))}"),
+            lambda: ("", f"* {ws()}\n* {ws()}"),
+            lambda: ("", f"*{ws()}, but see {w()}."),
             lambda: ("", f"Chapter {r.randint(1, 20)} {ws(1, 3).title()}"),
             lambda: ("", f"{w()} | {w()} | {w()}\n---- {ws()}"),
             lambda: ("", f"- {ws()}\n- {ws()}"),
@@ -289,97 +332,192 @@ def decided(texts: list[str], trees: BoostedTrees) -> Iterator[tuple[str, list[N
 _BLOCK = {"p", "div", "section", "article", "ul", "ol", "dl", "table", "blockquote", "header", "footer", "figure", "main", "tr", "br", "hr", "dt", "dd", "caption", "body", "html"}
 _DROP = {"script", "style", "head"}
 _LEVEL = {"chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5}
+_LISTS = {"ul", "ol", "itemize", "enumerate", "description"}
+_GONE = {"label", "cite", "citep", "citet", "ref", "eqref", "maketitle", "noindent", "usepackage", "documentclass", "bibliography", "input", "includegraphics", "centering", "hline"}
+_WEB = re.compile(r"(?:https?://|mailto:)[^\s\"'<>]+")
 
 
-def _rows(lines: list[list[str]]) -> str:
-    return "\n".join("| " + " | ".join(x.strip() for x in cells) + " |" for cells in lines if cells)
+def _row(cells: list[str], head: bool = False) -> str:
+    line = "| " + " | ".join(" ".join(x.split()) for x in cells) + " |"
+    return line + "\n|" + "---|" * len(cells) if head else line
 
 
 def _braces(s: str) -> str:
     return re.sub(r"^\{|\}$", "", s.replace("}{", " "))
 
 
-def _write(text: str, nodes: list[Node], take: list[bool], i: int, inner: str) -> str:
-    """What a node of markup becomes; ``inner`` is its content, already clean."""
-    n = nodes[i]
-    raw = text[n.a : n.b]
-    if n.type == "tag":
-        if n.name in _DROP:
+def _with_target(label: str, target: str) -> str:
+    """A link's text, with its address behind it where that leads out and the text does not say it."""
+    m = _WEB.match(target.strip())
+    return f"{label} ({m[0]})" if m and m[0] not in label else label
+
+
+def _wiki_table(inner: str) -> str:
+    """Rows of a wiki table: ``|-`` parts them, ``!`` opens header cells, ``|+`` the caption; a cell's attributes go."""
+    out, row, head = [], [], False
+    for line in [*inner.split("\n"), "|-"]:
+        line = line.strip()
+        if line.startswith("|-"):
+            if row:
+                out.append(_row(row, head))
+            row, head = [], False
+        elif line.startswith("|+"):
+            out.append(line[2:].strip())
+        elif line[:1] in ("|", "!"):
+            head = head or line[0] == "!"
+            cells = re.split(r"\|\||!!" if line[0] == "!" else r"\|\|", line[1:])
+            row += [re.sub(r"^[^|\[\]]*=[^|\[\]]*\|(?!\|)", "", c) for c in cells]
+        elif line and row:
+            row[-1] += " " + line
+    return "\n".join(out)
+
+
+class _Writer:
+    """Writes the clean text of one decided tree."""
+
+    def __init__(self, text: str, nodes: list[Node], take: list[bool]) -> None:
+        self.text, self.nodes, self.take = text, nodes, take
+        self.number: dict[int, tuple[int, int, bool]] = {}  # item: (depth of lists, place in its list, ordered)
+        seen: dict[int, int] = {}
+        depth = [0] * len(nodes)
+        list_of = [-1] * len(nodes)
+        for i, n in enumerate(nodes):
+            up = n.parent
+            depth[i], list_of[i] = (depth[up], list_of[up]) if up >= 0 else (0, -1)
+            if take[i] and n.name in _LISTS and n.b > n.a:
+                depth[i], list_of[i] = depth[i] + 1, i
+            elif take[i] and n.name in ("li", "item"):
+                k = list_of[i]
+                seen[k] = seen.get(k, 0) + 1
+                self.number[i] = (max(0, depth[i] - 1), seen[k], k >= 0 and nodes[k].name in ("ol", "enumerate"))
+
+    def mark(self, i: int) -> str:
+        depth, place, ordered = self.number[i]
+        return "  " * depth + (f"{place}." if ordered else "-")
+
+    def write(self, i: int, inner: str) -> str:
+        """What a node of markup becomes; ``inner`` is its content, already clean."""
+        n, text = self.nodes[i], self.text
+        raw = text[n.a : n.b]
+        if n.type == "tag":
+            return self.tag(i, n, raw, inner)
+        if n.type == "comment":
             return ""
-        if re.fullmatch("h[1-6]", n.name):
-            return f"\n{'#' * int(n.name[1])} {inner.strip()}\n" if n.b > n.a else ""
-        if n.name == "li":
-            return f"\n- {inner.strip()}"
-        if n.name == "pre" and n.b > n.a:
+        if n.type == "charref":
+            return html.unescape(text[n.start : n.end]).replace("\xa0", " ")
+        if n.type in ("fence", "code"):
+            return text[n.start : n.end]
+        if n.type == "mdtable":
+            return inner
+        if n.type in ("display", "math"):
+            return f"${' '.join(raw.split())}$" if n.type == "math" else f"$${raw}$$"
+        if n.type in ("heading", "task"):
+            return text[n.start : n.a] + inner if n.type == "heading" else re.sub(r"\[[ xX]\]", "", text[n.start : n.end]).rstrip()
+        if n.type == "wheading":
+            return f"{'#' * len(text[n.start : n.a].rstrip())} {inner}"
+        if n.type == "link":
+            return _with_target(inner, text[n.b + 2 : n.end - 1])
+        if n.type in ("wlink", "template"):
+            first, *rest = inner.split("|")
+            if n.type == "template" or first.strip().lower().startswith("category:"):
+                return ""
+            if re.match(r"(?i)\s*(file|image):", first):
+                words = [x for x in rest if not re.fullmatch(r"\s*(?:thumb|thumbnail|frame|frameless|border|left|right|center|none|upright|\d*x?\d+px|\w+=.*)\s*", x)]
+                return words[-1].strip() if words else ""
+            return rest[-1] if rest else first
+        if n.type == "wtable":
+            return _wiki_table(inner)
+        if n.type == "env":
+            if n.name.rstrip("*") in ("equation", "align", "displaymath", "math", "gather"):
+                return f"$${raw}$$"
+            if n.name.rstrip("*") in ("tabular", "array", "longtable"):
+                rows = [re.split(r"(?<!\\)&", x) for x in re.sub(r"\\hline\b", "", inner).split("\\\\") if x.strip()]
+                return "\n".join(_row(x) for x in rows)
+            return f"```{raw}```" if n.name in LITERAL_NAMES else inner.strip("\n")
+        if n.type == "command":
+            return self.command(i, n, raw, inner)
+        return inner  # emphasis and images: their text
+
+    def tag(self, i: int, n: Node, raw: str, inner: str) -> str:
+        name, filled = n.name, n.b > n.a
+        if name in _DROP:
+            return ""
+        if re.fullmatch("h[1-6]", name):
+            return f"\n{'#' * int(name[1])} {inner.strip()}\n" if filled else ""
+        if name == "li":
+            return "" if n.attrs == "/" else f"\n{self.mark(i)} {inner.strip()}"
+        if name == "pre" and filled:
             return "\n```\n" + html.unescape(re.sub(r"</?code[^<>]*>", "", raw)).strip("\n") + "\n```\n"
-        if n.name == "code" and n.b > n.a:
+        if name == "code" and filled:
             return f"`{html.unescape(raw)}`"
-        if n.name in ("td", "th"):
+        if name in ("td", "th"):
             return f" {' '.join(inner.split())} |"
-        if n.name == "tr":
-            return f"\n|{inner.strip() and ' ' + inner.strip()}" if inner.strip() else "\n"
-        return f"\n{inner}\n" if n.name in _BLOCK and n.b > n.a else "\n" if n.name in _BLOCK else inner
-    if n.type == "comment":
-        return ""
-    if n.type == "charref":
-        return html.unescape(text[n.start : n.end]).replace("\xa0", " ")
-    if n.type in ("fence", "mdtable", "code"):
-        return text[n.start : n.end]
-    if n.type in ("display", "math"):
-        return f"${' '.join(raw.split())}$" if n.type == "math" else f"$${raw}$$"
-    if n.type in ("heading", "task"):
-        return text[n.start : n.a] + inner if n.type == "heading" else re.sub(r"\[[ xX]\]", "", text[n.start : n.end]).rstrip()
-    if n.type == "wheading":
-        level = len(text[n.start : n.a].rstrip())
-        return f"{'#' * level} {inner}"
-    if n.type in ("wlink", "template"):
-        first, *rest = raw.split("|")
-        if n.type == "template" or first.strip().lower().startswith("category:"):
-            return ""
-        return rest[-1] if rest else "" if re.match(r"(?i)\s*(file|image):", first) else first
-    if n.type == "wtable":
-        body = [re.split(r"\|\||!!", x.lstrip("|!")) for x in raw.split("\n") if x[:1] in "|!" and x[:2] not in ("|-", "|+")]
-        return _rows(body)
-    if n.type == "env":
-        if n.name.rstrip("*") in ("equation", "align", "displaymath", "math", "gather"):
-            return f"$${raw}$$"
-        return f"```{raw}```" if n.name in LITERAL_NAMES else inner.strip("\n")
-    if n.type == "command":
-        name = re.match(r"\\([A-Za-z]+)", text[n.start : n.end])[1]
+        if name == "tr":
+            cells = [self.nodes[c].name for c in n.children if self.take[c] and self.nodes[c].type == "tag" and self.nodes[c].name in ("td", "th")]
+            rule = "\n|" + "---|" * len(cells) if cells and set(cells) == {"th"} else ""
+            return f"\n| {' '.join(inner.split())}{rule}" if inner.strip() else "\n"
+        if name == "a":
+            m = re.search(r"(?i)\bhref\s*=\s*[\"']?([^\s\"'<>]+)", n.attrs)
+            return _with_target(inner, html.unescape(m[1])) if m and inner.strip() else inner
+        if name == "img":
+            m = re.search(r"(?i)\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", n.attrs)
+            return html.unescape(next((x for x in m.groups() if x), "")) if m else ""
+        if name in _BLOCK:
+            return "\n" + inner[inner[:1] == "\n" :] + "\n" * (inner[-1:] != "\n") if filled else "\n"
+        return inner
+
+    def command(self, i: int, n: Node, raw: str, inner: str) -> str:
+        name, tie = n.name.rstrip("*"), " " if self.text[n.start] == "~" else ""
         if name in _LEVEL:
-            return f"{'#' * _LEVEL[name]} {_braces(inner)}"
+            return f"{tie}{'#' * _LEVEL[name]} {_braces(inner)}"
         if name == "item":
-            return "-"
-        if name in ("label", "cite", "citep", "citet", "ref", "eqref", "maketitle", "noindent", "usepackage", "documentclass", "bibliography", "input", "includegraphics"):
+            return self.mark(i)
+        if name in _GONE:
             return ""
-        return f" ({_braces(inner).strip()})" if name == "footnote" else _braces(inner) if raw else text[n.start : n.end]
-    return inner  # emphasis and links: their text
+        if name == "footnote":
+            return f" ({_braces(inner).strip()})"
+        if name == "href" and (m := re.match(r"\{([^{}]*)\}", raw)):
+            return tie + _with_target(_braces(inner[m.end() :]), m[1])
+        return tie + _braces(inner) if raw else self.text[n.start : n.end]
 
 
 def clean(text: str, nodes: list[Node], take: list[bool]) -> str:
-    """The text with its markup written as plain structure; prose is kept to the letter."""
+    """The text with its markup written as plain structure; prose is kept to the letter.
+
+    Line breaks that a construct brings along fall together with those that
+    stand beside it already; no others are touched.
+    """
     if not any(take):
         return text
-
-    kids = [[] for _ in nodes]
-    roots = []
-    for i, n in enumerate(nodes):
-        (kids[n.parent] if n.parent >= 0 else roots).append(i)
+    writer = _Writer(text, nodes, take)
+    roots = [i for i, n in enumerate(nodes) if n.parent < 0]
     done: dict[int, str] = {}
 
     def body(a: int, b: int, children: list[int]) -> str:
-        parts, at = [], a
+        parts, at, fresh = [], a, True  # fresh: nothing but a line break stands before
+
+        def put(s: str) -> None:
+            nonlocal fresh
+            if s:
+                parts.append(s)
+                fresh = s[-1] == "\n"
+
         for c in children:
-            parts += (text[at : nodes[c].start], done.pop(c))
-            at = nodes[c].end
-        return "".join([*parts, text[at:b]])
+            n, s = nodes[c], done.pop(c)
+            put(text[at : n.start])
+            if take[c] and n.type == "tag":
+                s = s[1:] if fresh and s[:1] == "\n" else s
+                s = s[:-1] if s[-1:] == "\n" and text[n.end : n.end + 1] == "\n" else s
+            put(s)
+            at = n.end
+        put(text[at:b])
+        return "".join(parts)
 
     for i in range(len(nodes) - 1, -1, -1):  # children come after their parent
         n = nodes[i]
-        inner = body(n.a, n.b, kids[i])
-        done[i] = _write(text, nodes, take, i, inner) if take[i] else text[n.start : n.a] + inner + text[n.b : n.end]
-    out = body(0, len(text), roots)
-    return re.sub(r"\n{4,}", "\n\n\n", re.sub(r"~(?=\s|$)", "", out) if "~\\" in text else out)
+        inner = body(n.a, n.b, n.children)
+        done[i] = writer.write(i, inner) if take[i] else text[n.start : n.a] + inner + text[n.b : n.end]
+    return body(0, len(text), roots)
 
 
 def clean_sources(df: DataFrame, id_col: str = "slug", text_col: str = "raw", texts: int = TRAIN_TEXTS, seed: int = SEED) -> DataFrame:
