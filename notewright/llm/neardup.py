@@ -10,22 +10,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop_cut
 from .components import hash_to_min
 
-#: Shared tokens asked of the prefixes of the first order.
-SHARED = 4
-#: A word is frequent from this share of the records; at most mean words / share words qualify, at any size.
-FREQUENT = 1 / 2000
+#: Shared tokens asked of the prefixes of the first order, and tokens that the prefixes of the further orders have beyond the words no similar text need share.
+SHARED, LATER = 4, 8
+#: A word is frequent from this share of the records, or from BLOCK records; of more than MOST_FREQUENT such words the most frequent are told to the tasks.
+FREQUENT, MOST_FREQUENT = 1 / 2000, 1_000_000
 #: Records of one posting list that meet in one place at most; longer lists are cut into blocks.
 BLOCK = 20_000
 #: Texts whose postings make up one task's share.
-TEXTS_PER_TASK = 20_000
+TEXTS_PER_TASK = 5_000
 #: A broadcast of candidate ids is allowed up to so many (8 bytes each).
 ID_BOUND = 2_000_000
+#: Members of one class that meet in one task at most when classes are expanded to pairs.
+MEMBERS = 2_000
 
 _WORD = re.compile("[a-z0-9]+")
 
@@ -44,10 +46,11 @@ def _at_least(x: float) -> int:
 
 
 def frequent_words(texts: DataFrame, n_texts: int, share: float = FREQUENT) -> dict[str, int]:
-    """word -> number of texts, of words in more than ``share`` of all texts.
+    """word -> number of texts, of words in more than ``share`` of all texts or in more than BLOCK texts.
 
-    Counted over all texts: per batch, then per word. The size of the answer
-    is bounded by mean words per text / share, not by the number of texts.
+    Counted over all texts: per batch, then per word. At most MOST_FREQUENT
+    words come out, the most frequent ones; a word left out counts as rare,
+    which costs candidates but no result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,8 +64,8 @@ def frequent_words(texts: DataFrame, n_texts: int, share: float = FREQUENT) -> d
         if counts:
             yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
 
-    least = max(1, int(n_texts * share))
-    got = texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > least)
+    least = max(1, min(int(n_texts * share), BLOCK))
+    got = texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > least).orderBy(F.desc("n"), "word").limit(MOST_FREQUENT)
     return {r["word"]: r["n"] for r in got.toLocalIterator()}
 
 
@@ -79,24 +82,19 @@ class _Keys(dict):
         return h
 
 
-def _bits(rows: int, row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """256-bit signatures (rows x 32 bytes) of hashes."""
-    out = np.zeros((rows, 32), np.uint8)
-    np.bitwise_or.at(out, (row, h >> 4 & 31), (1 << (h >> 1 & 7)).astype(np.uint8))
-    return out
-
-
 def _most(cls: np.ndarray) -> np.ndarray:
     """The most records a word of a frequency class can have."""
     return np.where(cls > 0, 2.0 ** (cls / 4), 0)
 
 
 def prefixes(texts: DataFrame, id_col: str, frequent, threshold: float, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
-    """One row per text: its class (sum and xor of its words' hashes), size, the prefix of order 0 and bit signatures of the prefixes of orders 1 and 2.
+    """One row per text: its class (sum and xor of its words' hashes), size, the prefix of order 0 and the prefixes of orders 1 and 2.
 
     Order 0 ranks words by frequency class, then hash; order 1 those of odd
     hash before those of even hash, order 2 the other way round, each by
-    frequency class, then hash.
+    frequency class, then hash. ``later`` holds the size, the number of odd
+    words, the length of either later prefix (three of 4 bytes) and 16 bits of
+    each of their tokens, the last bit of which tells odd from even.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,21 +130,23 @@ def prefixes(texts: DataFrame, id_col: str, frequent, threshold: float, shared:
                 size = np.minimum(n, miss + shared)
                 ends = np.cumsum(size)
                 tokens, freq = (kept & 0xFFFFFFFF).astype("<u4").tobytes(), _most(kept >> 40 & 127).astype("<i4")
-                sig = []
+                long = np.minimum(n, miss + LATER)
+                last = np.cumsum(long)
+                odd = np.bincount(row, low & 1, len(batch)).astype("<i4")
+                later = []
                 for odd_first in (1, 0):
                     order = np.sort(base | ((low & 1) ^ odd_first) << 47)
-                    order = order[place < np.repeat(miss + 1, n)]
-                    sig.append(_bits(len(batch), order >> 48, order & ((1 << 40) - 1)))
-                sig = np.concatenate(sig, axis=1)
+                    later.append((order[place < np.repeat(miss + LATER, n)] & 0xFFFF).astype("<u2").tobytes())
+                head = np.stack([n.astype("<i4"), odd, long.astype("<i4")], axis=1).tobytes() if len(batch) else b""
                 heavy = np.array([bool(s) and freq[e - 1] > block for s, e in zip(size.tolist(), ends.tolist(), strict=True)])
                 yield pd.DataFrame({
                     "id": batch[id_col].to_numpy(), "c1": c1, "c2": c2, "n": n.astype(np.int32),
                     "prefix": [tokens[4 * (e - s) : 4 * e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)],
                     "freq": [freq[e - s : e].tobytes() if x else b"" for s, e, x in zip(size.tolist(), ends.tolist(), heavy.tolist(), strict=True)],
-                    "sig": [sig[i].tobytes() for i in range(len(batch))],
+                    "later": [head[12 * i : 12 * i + 12] + later[0][2 * (e - s) : 2 * e] + later[1][2 * (e - s) : 2 * e] for i, (s, e) in enumerate(zip(long.tolist(), last.tolist(), strict=True))],
                 })
 
-    return texts.mapInPandas(run, "id long, c1 long, c2 long, n int, prefix binary, freq binary, sig binary")
+    return texts.mapInPandas(run, "id long, c1 long, c2 long, n int, prefix binary, freq binary, later binary")
 
 
 def _postings(threshold: float, block: int):
@@ -328,10 +328,33 @@ def _candidates(threshold: float, shared: int):
     return run
 
 
-def _share_all_orders(sig_a, sig_b):
-    """Rows of signatures that share a bit in every order."""
-    x, y = (np.frombuffer(b"".join(s), np.uint64).reshape(-1, 2, 4) for s in (sig_a, sig_b))
-    return ((x & y) != 0).any(axis=2).all(axis=1)
+def _shared(later_a: list[bytes], later_b: list[bytes], threshold: float) -> np.ndarray:
+    """Which pairs can be similar by the prefixes of orders 1 and 2.
+
+    With c tokens shared by two prefixes of one order, a pair shares at most c
+    and the longer of the two rests behind the prefixes. The odd words are told
+    by order 1, the even ones by order 2, so the pair's odd and even words
+    together are bounded by both orders at once. A pair stays if each bound
+    reaches the number of words it must share. 16 bits may take different
+    words for one, which can only keep a pair.
+    """
+    m = len(later_a)
+    heads = np.frombuffer(b"".join(x[:12] for side in (later_a, later_b) for x in side), "<i4").astype(np.int64).reshape(2, m, 3)
+    n, odd, size = heads[:, :, 0], heads[:, :, 1], heads[:, :, 2]
+    need = _need(threshold, n[0], n[1])
+    keep, together = np.ones(m, bool), np.zeros(m, np.int64)
+    for k, of_class in ((0, odd), (1, n - odd)):
+        flat, pair = [], []
+        for side, texts in enumerate((later_a, later_b)):
+            at = [(12 + 2 * z * k, 12 + 2 * z * (k + 1)) for z in size[side].tolist()]
+            flat.append(np.frombuffer(b"".join(x[a:b] for x, (a, b) in zip(texts, at, strict=True)), "<u2").astype(np.int64))
+            pair.append(np.repeat(np.arange(m), size[side]))
+        hit = np.isin(pair[0] << 16 | flat[0], pair[1] << 16 | flat[1])
+        keep &= np.bincount(pair[0][hit], minlength=m) + (n - size).max(axis=0) >= need
+        own = [(f & 1) == 1 - k for f in flat]
+        rest = of_class - np.stack([np.bincount(p[o], minlength=m) for p, o in zip(pair, own, strict=True)])
+        together += np.bincount(pair[0][hit & own[0]], minlength=m) + rest.max(axis=0)
+    return keep & (together >= need)
 
 
 def similar_classes(texts: DataFrame, id_col: str, columns: list[str], threshold: float = 0.8, shared: int = SHARED) -> tuple[DataFrame, DataFrame]:
@@ -341,14 +364,18 @@ def similar_classes(texts: DataFrame, id_col: str, columns: list[str], threshold
     least id. The word set is the distinct runs of a-z and 0-9 of the
     lower-cased columns joined by blanks (null counts as empty). All pairs of
     different word sets with Jaccard similarity of at least ``threshold`` come
-    out, by filters over several global token orders:
-
-    * under the rare-first order a similar pair shares at least ``shared``
-      tokens of prefixes that are ``shared`` - 1 tokens longer than the plain
-      prefix (fewer where the pair need not share that many at all);
-    * under two further orders it shares a token of the plain prefix.
-
-    Pairs that pass all orders are verified on the whole word sets. Words are
+    out, by filters over several global token orders, with prefixes longer
+    than the plain one by ``shared`` - 1 and LATER - 1 tokens:
+
+    * posting lists of the rare-first order give the pairs that share at least
+      ``shared`` tokens of its prefixes (fewer where the pair need not share
+      that many at all);
+    * of these keys those remain that also share enough tokens of the prefixes
+      under two further orders, odd hashes first and even hashes first; the
+      prefixes are looked up by key, so that the many pairs that only these
+      two orders would bring are never listed.
+
+    Only pairs left by all orders fetch the whole word sets and are verified. Words are
     ranked by counts over all texts; only the frequent ones (a number bounded
     by the mean text length, not by the number of texts) are told to the
     tasks, the others are equally rare and ordered by hash. A posting list of
@@ -362,7 +389,7 @@ def similar_classes(texts: DataFrame, id_col: str, columns: list[str], threshold
     n_texts = only.count()
     frequent = sc.broadcast(frequent_words(only.select(*columns), n_texts))
     every = cut(prefixes(only, id_col, frequent, threshold, shared))
-    ranked = every.groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "prefix", "freq", "sig")).alias("r")).select("c1", "c2", "n", "r.*")
+    ranked = every.groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "prefix", "freq", "later")).alias("r")).select("c1", "c2", "n", "r.*")
     reps = ranked.filter("n > 0")
     lists = reps.select("id", "n", "prefix", "freq").mapInPandas(_postings(threshold, BLOCK), "tok int, blk int, rec long, n int, pos int, rest binary")
     # tasks of one size at any number of texts
@@ -371,21 +398,25 @@ def similar_classes(texts: DataFrame, id_col: str, columns: list[str], threshold
     pairs = cut(found.distinct())
 
     small = pairs.count() * 2 <= ID_BOUND
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    mark = F.broadcast if small else (lambda x: x)
-    sigs = reps.join(mark(ids), "id", "left_semi").select("id", "sig")
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])), F.lit("[a-z0-9]+"), 0))
-    sets = only.join(mark(ids.withColumnRenamed("id", id_col)), id_col, "left_semi").select(F.col(id_col).alias("id"), tokens.alias("t")).dropDuplicates(["id"])
-    both = sigs.join(sets, "id")
+
+    def with_ends(of: DataFrame, table: DataFrame, column: Column, name: str) -> DataFrame:
+        """Pairs with a column of both ends; only rows that are some pair's end are shuffled."""
+        ids = of.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ends = table.join(F.broadcast(ids) if small else ids, "id", "left_semi").select("id", column.alias(name)).dropDuplicates(["id"])
+        for c in ("a", "b"):
+            of = of.join(ends.toDF(c, f"{name}_{c}"), c)
+        return of
 
     @F.pandas_udf("boolean")
     def all_orders(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(_share_all_orders(x, y) if len(x) else np.empty(0, bool))
+        return pd.Series(_shared(x.to_list(), y.to_list(), threshold) if len(x) else np.empty(0, bool))
 
-    joined = pairs.join(both.toDF("a", "sig_a", "ta"), "a").join(both.toDF("b", "sig_b", "tb"), "b").filter(all_orders("sig_a", "sig_b"))
-    inter = F.size(F.array_intersect("ta", "tb"))
-    sim = inter / (F.size("ta") + F.size("tb") - inter)
-    checked = joined.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
+    left = cut(with_ends(pairs, reps, F.col("later"), "later").filter(all_orders("later_a", "later_b")).select("a", "b"))
+    drop_cut(pairs)
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in columns])), F.lit("[a-z0-9]+"), 0))
+    inter = F.size(F.array_intersect("t_a", "t_b"))
+    sim = inter / (F.size("t_a") + F.size("t_b") - inter)
+    checked = with_ends(left, only.withColumnRenamed(id_col, "id"), tokens, "t").select("a", "b", sim.alias("similarity")).filter(F.col("similarity") >= threshold)
     member = every.select("id", "c1", "c2", "n").distinct()
     members = member.join(member.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep")), ["c1", "c2", "n"]).select("id", "rep")
     return checked, members
@@ -396,14 +427,17 @@ def similar_pairs(texts: DataFrame, id_col: str, columns: list[str], threshold:
     pairs, members = similar_classes(texts, id_col, columns, threshold)
     pairs, members = cut(pairs.select("a", "b")), cut(members)
     # only classes of several texts need expanding
-    several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("rep")
-    more = cut(members.join(several, "rep", "left_semi"))
+    several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    more = cut(members.join(several, "rep").withColumn("parts", F.ceil(F.col("k") / MEMBERS).cast("int")))
     side = pairs
     for c in ("a", "b"):
         side = side.join(more.select(F.col("rep").alias(c), F.col("id").alias(f"{c}2")), c, "left")
         side = side.select(*[x for x in side.columns if x not in (c, f"{c}2")], F.coalesce(f"{c}2", c).alias(c))
     across = side.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    inside = more.select("rep", F.col("id").alias("a")).join(more.select("rep", F.col("id").alias("b")), "rep").filter("a < b").select("a", "b")
+    # a large class meets itself in parts: one side is in its own part, the other in all
+    one = more.select("rep", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    all_ = more.select("rep", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    inside = one.join(all_, ["rep", "part"]).filter("a < b").select("a", "b")
     return across.unionByName(inside)
 
 

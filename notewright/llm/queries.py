@@ -110,6 +110,12 @@ ORACLE = {
         t as (select ord, len(w) n, unnest(w) x from n),
         p as (select a.ord ord_a, b.ord ord_b, a.n na, b.n nb, count(*) c from t a join t b on a.x = b.x and a.ord < b.ord and least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) group by all)
         select ord_a, ord_b from p where c >= 0.7 * (na + nb - c) - 1e-9""",
+    "p6_groups": r"""with recursive n as (select ord, list_sort(list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '') || ' ' || coalesce(any_value(body), '')), '[a-z0-9]+'))) w from notes where ord is not null group by ord),
+        c as (select w, min(ord) k from n group by w), t as (select k, len(w) n, unnest(w) x from c),
+        p as (select a.k a, b.k b, a.n na, b.n nb, count(*) c from t a join t b on a.x = b.x and a.k <> b.k and least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) group by all),
+        e as (select a, b from p where c >= 0.7 * (na + nb - c) - 1e-9), l as (select a, count(*) links from e group by a),
+        reach as (select k a, k b from c union select reach.a, e.b from reach join e on e.a = reach.b), g as (select a, min(b) g from reach group by a)
+        select n.ord id, c.k class_id, g.g group_id, coalesce(links, 0) links from n join c using (w) join g on g.a = c.k left join l on l.a = c.k""",
     "p4_found": r"""with c as (select id, any_value(source) source, any_value(start_line) a, any_value(end_line) b from chunks group by id),
         r as (select slug, any_value(string_split(raw, chr(10))) l, any_value(format) format from raw_sources group by slug)
         select c.id from c join r on c.source = r.slug join chunk_limits f on f.format = r.format
