@@ -103,7 +103,30 @@ _GROUPS = f"""with recursive n as (select distinct ord, vault, {_KEY.format("nam
     e as (select vault, a, b from e0 union select vault, b, a from e0),
     reach as (select vault, k a, k b from (select distinct vault, k from n) union select reach.vault, reach.a, e.b from reach join e on e.vault = reach.vault and e.a = reach.b),
     g as (select n.ord, min(m.ord) g from n join reach on reach.vault = n.vault and reach.a = n.k join n m on m.vault = reach.vault and m.k = reach.b group by n.ord)"""
+_HEAD = r"\f?\s*(#{1,6} .{1,90}|(?i:chapter|chapitre|kapitel|cap[íi]tulo|capitolo)\s+[0-9]+(?:[.:]?|\b.{0,89}[^.,;:\s])|[0-9]{1,2}(?:\.[0-9]{1,2})*\.?\s+[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][^.;:]{1,70})\s*"
+_LATER = "list_max(list_filter(b{0}, lambda x: x > s + {1} and x <= s + lim))"
+_END = f"case when lim is null or wb - s <= lim then wb else coalesce({', '.join(_LATER.format(k, least) for least in ('greatest(lim // 2, ov)', 'ov') for k in (3, 2, 1))}, s + lim) end"
+#: Words with their places, pieces by recursion over the boundaries of each chunk.
+_PIECES = rf"""with recursive c as (select id, any_value(source) source, any_value(label) label, any_value(start_line) a, any_value(end_line) z from chunks where id is not null group by id),
+    r as (select slug, any_value(raw) raw, any_value(format) format from raw_sources where slug is not null group by slug),
+    f as (select format, min(max_words) lim, max(overlap_words) ov from chunk_limits group by format),
+    t0 as (select slug, generate_subscripts(x, 1) i, unnest(x) t from (select slug, regexp_extract_all(raw, '[^ \t\n\r\f]+|[ \t\n\r\f]+') x from r)),
+    t1 as (select *, sum(len(t)) over (partition by slug order by i) - len(t) off, 1 + sum(len(t) - len(replace(t, chr(10), ''))) over (partition by slug order by i) as line, lag(t) over (partition by slug order by i) gap from t0),
+    w0 as (select *, row_number() over (partition by slug order by i) - 1 k, lag(t) over (partition by slug order by i) prev, line - lag(line) over (partition by slug order by i) nl from t1 where not regexp_matches(t, '^[ \t\n\r\f]')),
+    ln as (select slug, generate_subscripts(x, 1) n, unnest(x) l from (select slug, string_split(raw, chr(10)) x from r)),
+    hd as (select slug, min(k) k, any_value(trim(ltrim(trim(l, e' \t\n\r\f'), '#'), e' \t\n\r\f')) label from ln join w0 using (slug) where line = n and len(l) <= 110 and regexp_full_match(l, '{_HEAD}') group by slug, n),
+    w as (select w0.slug, w0.k, t, off, line, case when hd.k is not null then 3 when prev is null then 0 when nl > 1 or contains(gap, chr(12)) then 3 when regexp_matches(prev, '([.!?…。]|[.][”")])$') then case when nl > 0 then 2 else 1 end else 0 end kind from w0 left join hd on hd.slug = w0.slug and hd.k = w0.k),
+    g as (select c.id, c.source, c.label, c.a, c.z, lim, coalesce(least(ov, lim - 1), 0) ov, min(k) wa, coalesce(max(k) + 1, 0) wb, count(k) n, list(k order by k) filter (kind >= 3) b3, list(k order by k) filter (kind >= 2) b2, list(k order by k) filter (kind >= 1) b1
+      from c left join r on r.slug = c.source left join f on f.format = r.format left join w on w.slug = c.source and w.line between c.a and c.z group by all),
+    st as (select id, 0 piece, s, s e0, {_END} e from (select *, coalesce(wa, 0) s from g)
+      union all select id, piece + 1, s, e0, {_END} from (select g.*, piece, e - ov s, e e0 from st join g using (id) where e < wb)),
+    p as (select st.*, g.*, e = wb or list_contains(b1, e) nat from st join g using (id))
+    select p.id, p.source, cast(n as int) chunk_words, lim max_words, piece, cast(s - coalesce(wa, 0) as int) start_word, cast(e - coalesce(wa, 0) as int) end_word, case when n = 0 then a else cast(x.line as int) end start_line, case when n = 0 then z else cast(y.line as int) end end_line,
+      cast(e - s as int) words, cast(e0 - s as int) overlap, coalesce(case when n > 0 then coalesce((select max_by(label, k) from hd where hd.slug = p.source and hd.k <= s), (select min_by(label, k) from hd where hd.slug = p.source and hd.k < e)) end, nullif(trim(p.label), ''),
+      'lines ' || case when n = 0 then coalesce(a::varchar, 'None') else x.line::varchar end || '-' || case when n = 0 then coalesce(z::varchar, 'None') else y.line::varchar end) label, nat "natural", case when n = 0 then '' else substring(raw, cast(x.off + 1 as bigint), cast(y.off + len(y.t) - x.off as bigint)) end as text
+    from p left join w x on x.slug = p.source and x.k = s and n > 0 left join w y on y.slug = p.source and y.k = e - 1 and n > 0 left join r on r.slug = p.source"""
 ORACLE = {
+    "p4_pieces": _PIECES,
     "p3_found": _GROUPS + " select distinct g group_ord, ord from g where g <> ord",
     "p3_groups": _GROUPS + " select distinct notes.ord, coalesce(g.g, notes.ord) group_ord from notes left join g using (ord) where notes.ord is not null",
     "p6_found": r"""with n as (select ord, list_distinct(regexp_extract_all(lower(coalesce(any_value(title), '') || ' ' || coalesce(any_value(description), '') || ' ' || coalesce(any_value(body), '')), '[a-z0-9]+')) w from notes group by ord),
