@@ -10,8 +10,8 @@ from ..functions.text import name_key
 from ..session import cut
 from . import tokens
 
-#: Documents of a source summed up in one task; deviation of the shares that a larger mix may cost.
-PER_BUCKET, TOLERANCE = 50_000, 0.02
+#: Documents of a source summed up in one task; deviation of the shares that a larger mix may cost (none).
+PER_BUCKET, TOLERANCE = 50_000, 0.0
 
 
 def plan_mix(rows: list[tuple[str, float, int, int, int]], tolerance: float = TOLERANCE, total: int | None = None) -> list[tuple[str, float, int, int]]:
@@ -21,12 +21,13 @@ def plan_mix(rows: list[tuple[str, float, int, int, int]], tolerance: float = TO
     the mix follows from two deviations of the shares: what capped sources
     miss, which grows with the size, and what choosing whole documents
     rounds, which falls with it. The largest size is taken whose expected
-    deviation is at most ``tolerance`` above the smallest possible.
+    deviation is at most ``tolerance`` above the smallest possible: by
+    default, the size with the least deviation.
     """
     weights = sum(max(0.0, r[1] or 0.0) for r in rows)
     share = {r[0]: max(0.0, r[1] or 0.0) / weights if weights else 0.0 for r in rows}
     cap = {s: max(0, r if r is not None else 1) * t for s, _, r, t, _ in rows}
-    half = {s: t / (4 * n) if n else 0.0 for s, _, _, t, n in rows}  # expected rounding to whole documents
+    half = {s: t / n * min(1 / 4, 1 / n) if n else 0.0 for s, _, _, t, n in rows}  # expected rounding to whole documents, the last of which is the best fit of n
     here = [s for s in share if share[s] > 0 and cap[s] > 0]
     if not here:
         return [(r[0], share[r[0]], 0, 0) for r in rows]
@@ -42,7 +43,7 @@ def plan_mix(rows: list[tuple[str, float, int, int, int]], tolerance: float = TO
         lo, hi = min(ends), max(ends)
         sizes = [lo * (hi / lo) ** (i / 400) for i in range(401)]
         devs = [deviation(x) for x in sizes]
-        total = max(x for x, v in zip(sizes, devs, strict=True) if v <= min(devs) + tolerance)
+        total = max(x for x, v in zip(sizes, devs, strict=True) if v <= min(devs) + tolerance + 1e-9)
     out = []
     for s, _, _, t, _ in rows:
         budget = int(min(want[s] * total, cap[s]) + 1e-6) if s in want else 0
@@ -61,7 +62,9 @@ def mixed(documents: DataFrame, targets: DataFrame, folder: str = tokens.FOLDER,
     Each document draws -ln(u) / quality, u by a hash of its id; within a
     source the smallest go first (weighted sampling without replacement). Whole
     epochs of a source come before the fraction, which takes documents in that
-    order while at least half of the document is within the budget. Prefix
+    order as long as they are within the budget, and last the one document
+    whose size comes nearest to what is left of it, if that comes nearer to the
+    budget than leaving it out. Prefix
     sums run in buckets of about PER_BUCKET documents of one source, cut along
     the draw, with the buckets' totals before them: a hot source spreads over
     many tasks. Sources are compared by name key. Documents of a null or
@@ -98,8 +101,17 @@ def mixed(documents: DataFrame, targets: DataFrame, folder: str = tokens.FOLDER,
     totals = parts.groupBy("key", "bucket").agg(F.sum("n_tokens").alias("t"))
     # one row per PER_BUCKET documents; a source's rows are few enough for one window
     before = totals.selectExpr("key", "bucket", "sum(t) over (partition by key order by bucket) - t as ahead")
-    summed = parts.selectExpr("*", "sum(n_tokens) over (partition by key, bucket order by draw, doc_id rows unbounded preceding) - n_tokens as inside").join(before, ["key", "bucket"])
-    chosen = summed.join(steps, "key").withColumn("repeats", F.col("epochs") + (F.col("ahead") + F.col("inside") + F.col("n_tokens") / 2 <= F.col("rest")).cast("long"))
+    inside = parts.selectExpr("*", "sum(n_tokens) over (partition by key, bucket order by draw, doc_id rows unbounded preceding) as inside")
+    summed = cut(inside.join(before, ["key", "bucket"]).select("key", "doc_id", "n_tokens", "draw", (F.col("ahead") + F.col("inside")).alias("upto")))
+    # one row per mix and source: the room that whole documents leave, and the document that fills it best
+    all_steps = summed.join(steps, "key")
+    gaps = all_steps.groupBy("mix", "key", "rest").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("full")).select("mix", "key", (F.col("rest") - F.coalesce("full", F.lit(0))).alias("gap"))
+    gaps = F.broadcast(cut(gaps.filter("gap > 0")))
+    off = F.abs(F.col("gap") - F.col("n_tokens"))
+    fills = all_steps.filter("upto > rest").join(gaps, ["mix", "key"]).filter(off < F.col("gap")).groupBy("mix", "key").agg(F.min_by("doc_id", F.struct(off, "draw", "doc_id")).alias("fill"))
+    fills = F.broadcast(cut(fills))
+    taken = (F.col("upto") <= F.col("rest")) | F.coalesce(F.col("doc_id") == F.col("fill"), F.lit(False))
+    chosen = all_steps.join(fills, ["mix", "key"], "left").withColumn("repeats", F.col("epochs") + taken.cast("long"))
     chosen = cut(chosen.filter("repeats > 0").select("mix", "source", "doc_id", "n_tokens", "repeats"))
 
     sums = chosen.groupBy("mix", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("chosen_tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
