@@ -32,8 +32,9 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", hot_rows: int = HO
     now = cut(both.unionByName(both.select("v", F.col("v").alias("u")).distinct()))
     before = None
     for _ in range(max_rounds):
-        least = now.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
-        seen = least.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.xxhash64("v", "m", "n").cast("decimal(38,0)")), F.max("n")).first()
+        least = now.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("h"))
+        # rows are distinct, so that equal counts and hashes of all rows mean equal clusters
+        seen = least.agg(F.count(F.lit(1)), F.sum("n"), F.bit_xor("h"), F.max("n")).first()
         sized = cut(least) if (seen[3] or 0) >= hot_rows else least
         hot = hot_keys(sized, ["v"], rows=hot_rows) if sized is not least else None
         sent = join_by_key(now, sized.select("v", "m"), ["v"], "inner", hot)

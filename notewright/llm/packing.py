@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,22 +83,29 @@ def packed(documents: DataFrame, specs: DataFrame, folder: str = tokens.FOLDER,
         parts = -(-n // SEGMENT)
         plan.append((cell, segment, parts))
         segment, held = (segment + parts, 0) if parts > 1 else (segment, held + n)
+    n_segments = segment + 1
     layout = F.broadcast(spark.createDataFrame(plan, "cell int, first int, parts int"))
     placed = sized.join(layout, "cell").select("doc_id", "n_tokens", "curve_key", (F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("segment"))
     kind = dict(documents.dtypes)["doc_id"]
     schema = f"spec string, capacity_tokens int, container_id long, doc_id {kind}, piece int, start_token long, end_token long, tokens long"
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def pack_segment(segment: int, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["curve_key", "n_tokens", "doc_id"], kind="stable")
         sizes, ids = group["n_tokens"].to_numpy(), group["doc_id"].to_numpy()
         out = []
         for spec, capacity in wanted:
             rows = np.array(pack(sizes, capacity), dtype=np.int64).reshape(-1, 5)
-            out.append(pd.DataFrame({"spec": spec, "capacity_tokens": capacity, "container_id": (int(key[0]) << 32) + rows[:, 2], "doc_id": ids[rows[:, 0]], "piece": rows[:, 1],
+            out.append(pd.DataFrame({"spec": spec, "capacity_tokens": capacity, "container_id": (segment << 32) + rows[:, 2], "doc_id": ids[rows[:, 0]], "piece": rows[:, 1],
                                      "start_token": rows[:, 3], "end_token": rows[:, 4], "tokens": rows[:, 4] - rows[:, 3]}))
         return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in schema.split(", ")])
 
-    return placed.groupBy("segment").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        for segment, group in pd.concat(parts).groupby("segment") if parts else ():
+            yield pack_segment(int(segment), group)
+
+    # one task a segment, whatever its bytes
+    return placed.repartitionById(n_segments, F.col("segment").cast("int")).mapInPandas(run, schema)
 
 
 def fill_report(packed_items: DataFrame) -> DataFrame:

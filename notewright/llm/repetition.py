@@ -34,9 +34,10 @@ def _dup_share(items: Column) -> Column:
 
 
 def shingles(w: Column, n: int = 5) -> Column:
-    """All sequences of ``n`` consecutive words; none for shorter texts."""
-    none = F.array().cast("array<string>")
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+    """64-bit hashes of all sequences of ``n`` consecutive words; none for shorter texts."""
+    none = F.array().cast("array<bigint>")
+    codes = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(F.size(w) >= n, let(codes, lambda h: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n))))).otherwise(none)
 
 
 def measures(text: Column, w: Column, lines: Column, paras: Column) -> dict[str, Column]:
@@ -49,7 +50,7 @@ def measures(text: Column, w: Column, lines: Column, paras: Column) -> dict[str,
         return F.struct(x.alias("x"), n.alias("n"), F.greatest(acc["m"], n).alias("m"))
 
     run = F.aggregate(F.array_sort(w), same, step, lambda acc: acc["m"])  # longest run of equal sorted words
-    stop = F.array(*[F.lit(s) for s in dict.fromkeys(STOP_WORDS)])
+    stop = list(dict.fromkeys(STOP_WORDS))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return {
         "n_words": size,
@@ -61,7 +62,7 @@ def measures(text: Column, w: Column, lines: Column, paras: Column) -> dict[str,
         "symbol_ratio": zero(F.when(F.length(text) > 0, F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()-]")) / F.length(text))),
         "top_word_share": zero(F.when(size > 0, run / size)),
         "mean_word_len": zero(F.when(size > 0, F.length(F.array_join(w, "")) / size)),
-        "stop_word_share": zero(F.when(size > 0, F.size(F.filter(w, lambda x: F.array_contains(stop, x))) / size)),
+        "stop_word_share": zero(F.when(size > 0, F.size(F.filter(w, lambda x: x.isin(*stop))) / size)),
     }
 
 

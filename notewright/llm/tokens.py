@@ -20,12 +20,20 @@ DIMS, BITS = 4, 10
 
 
 @lru_cache(4)
-def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY):
-    """The tokenizer of a vocabulary file, loaded once a process."""
+def _built(name: str, ranks_file: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (Path(folder) / vocabulary).read_bytes().splitlines())}
-    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def vocabulary_file(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> bytes:
+    return (Path(folder) / vocabulary).read_bytes()
+
+
+def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY):
+    """The tokenizer of a vocabulary file, built once a process."""
+    return _built(vocabulary, vocabulary_file(folder, vocabulary))
 
 
 @lru_cache(4)
@@ -78,13 +86,16 @@ def measured(documents: DataFrame, carry: tuple[str, ...] = (), folder: str = FO
     quality is 1 minus the share of repeated five-token sequences, at least
     0.05. curve_key is the Hilbert index of the document's vector of distinct
     tokens, hashed to DIMS random directions. A null text has no tokens; rows
-    without a doc_id are left out.
+    without a doc_id are left out. The vocabulary file is read on the driver
+    and broadcast (about a megabyte), so executors need no copy of their own.
     """
     kinds = dict(documents.dtypes)
     schema = ", ".join([f"doc_id {kinds['doc_id']}", *[f"{c} {kinds[c]}" for c in carry], "n_tokens long, quality double, curve_key long"])
 
+    ranks = documents.sparkSession.sparkContext.broadcast(vocabulary_file(folder, vocabulary))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(folder, vocabulary)
+        enc = _built(vocabulary, ranks.value)
         directions = _directions(max(enc.n_vocab, 65_536), DIMS, seed)
         for batch in batches:
             size, quality = np.zeros(len(batch), np.int64), np.ones(len(batch))
