@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, folded, initials, pages, squeeze, strip, token_set
 from ..session import cut
-from .skew import HOT_ROWS, hot_keys, join_by_key
+from .skew import HOT_ROWS, hot_keys, join_by_key, salted_join
 
 #: Note types with their section, and the closed lists of the other fields.
 SECTIONS = {"Concept": "concepts", "Framework": "frameworks", "Principle": "principles", "Entity": "entities", "Method": "methods", "AntiPattern": "anti-patterns"}
@@ -72,7 +72,7 @@ def ground(notes: DataFrame, sources: DataFrame, hot_rows: int = HOT_ROWS) -> Da
 
     s = by_page.select("source", "page_offset", F.array_join(F.filter("p", lambda x: x != ""), " ").alias("norm"), F.aggregate("p", zero, step, lambda acc: acc["out"]).alias("starts"))
     per = c.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("source is not null")
-    got = join_by_key(c, s, ["source"], "left", hot_keys(per, ["source"], rows=hot_rows))
+    got = salted_join(c, s, ["source"], per, ["ord", "pos"], rows=hot_rows)
     at = F.when(F.col("needle") != "", F.instr(F.col("norm"), F.col("needle"))).cast("long")
     hit = got.withColumn("at", F.when(at > 0, at))
     page = F.try_element_at(F.filter("starts", lambda x: x["start"] <= F.col("at")), F.lit(-1))["page"]
@@ -105,6 +105,8 @@ def fold_roots(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         now = done.select("slug", "root")
         if not done.filter("was <> root").head(1):
             break
+    else:
+        raise RuntimeError(f"not stable after {max_rounds} rounds")
     return now.filter("slug <> root")
 
 

@@ -37,3 +37,21 @@ def join_by_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     a = marked.filter("_hot").drop("_hot").join(few, keys, how)
     b = marked.filter("_hot is null").drop("_hot").join(right, keys, how)
     return a.unionByName(b)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counted: DataFrame, salt: list[str], how: str = "left", n: str = "n", rows: int = HOT_ROWS) -> DataFrame:
+    """``left`` joined to ``right``, which has one row per key of any size.
+
+    The rows of a key hot in ``counted`` (one row per key with ``n``, its rows
+    in ``left``) spread by a hash of ``salt`` over one part for every ``rows``
+    of them, and each part gets a copy of the key's right row, so that nothing
+    large is broadcast and no task holds more of a key than about ``rows``.
+    """
+    hot = hot_keys(counted, keys, n, rows)
+    if hot is None:
+        return left.join(right, keys, how)
+    parts = F.broadcast(counted.join(F.broadcast(hot), keys, "left_semi").select(*keys, F.ceil(F.col(n) / rows).cast("int").alias("_parts")))
+    many = F.coalesce("_parts", F.lit(1))
+    a = left.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*salt), many).cast("int")).drop("_parts")
+    b = right.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts")
+    return a.join(b, [*keys, "_part"], how).drop("_part")

@@ -16,11 +16,11 @@ from .note_queries import _notes, _src
 
 
 def html_to_text(spark, d):
-    return _src(spark, d).select("slug", fs.html_column(F.col("raw")).alias("text"))
+    return _src(spark, d).select("slug", fs.html_reader(F.col("raw")).alias("text"))
 
 
 def rtf_to_text(spark, d):
-    return _src(spark, d).select("slug", fs.rtf_column(F.col("raw")).alias("text"))
+    return _src(spark, d).select("slug", fs.rtf_reader(F.col("raw")).alias("text"))
 
 
 def sha256_text(spark, d):

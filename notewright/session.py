@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a local folder is
-    made, once per session.
+    Only where a session on one machine (a local master, as in tests) names
+    none a local folder is made, once per session; on a cluster, whose
+    machines share no such folder, the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="notewright-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -58,3 +62,9 @@ def drop_cut(df: DataFrame) -> None:
 def clear_cuts(spark: SparkSession) -> None:
     """Remove all tables this application cut, once their results are written or no longer needed."""
     _delete(spark, _own_dir(spark))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system Hadoop knows is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
