@@ -161,16 +161,16 @@ ORACLE = {
 }
 _NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '" + _W.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
 _GOLD = f"""n as (select ord, any_value(vault) vault, any_value(slug) slug, any_value(aliases) aliases, any_value(related) related from notes where ord is not null group by ord),
-gd as (select vault bundle, slug_a concept, [slug_a, min(slug_b)] keys from note_matches where same and slug_a is not null and slug_b is not null group by vault, slug_a),
+gp as (select distinct vault bundle, least(slug_a, slug_b) a, greatest(slug_a, slug_b) b from note_matches where same and slug_a is not null and slug_b is not null),
+gd as (select bundle, a concept from gp union select bundle, b from gp),
 nk0 as (select vault bundle, ord, slug, unnest(list_prepend(slug, coalesce(aliases, []))) k from n),
 nk as (select bundle, {_NORM.format("k")} key_, arg_min(slug, ord) slug from nk0 group by all),
-gk as (select bundle, concept, generate_subscripts(keys, 1) p, unnest(keys) k from gd),
-ht as (select gk.bundle, concept, arg_min(slug, p) slug from gk join nk on nk.bundle = gk.bundle and nk.key_ = {_NORM.format("k")} group by all),
+gk as (select bundle, concept, 0 p, concept k from gd union all select bundle, a, 1, b from gp where a <> b union all select bundle, b, 1, a from gp where a <> b),
+ht as (select gk.bundle, concept, arg_min(slug, row(p, k)) slug from gk join nk on nk.bundle = gk.bundle and nk.key_ = {_NORM.format("k")} group by all),
 mg as (select gd.bundle, gd.concept, slug from gd left join ht using (bundle, concept))"""
 ORACLE["gold_recall"] = f"with {_GOLD} select bundle, count(slug) found, count(*) concepts, count(slug) / count(*) recall from mg group by bundle"
 ORACLE["link_recall"] = f"""with {_GOLD}, idx0 as (select vault, slug, ord, 0 prio, slug as name from n where slug is not null union all select vault, slug, ord, 1, unnest(aliases) from n where slug is not null),
     idx as (select vault, replace(lower({_strip("name")}), 'ß', 'ss') k, arg_min(slug, row(prio, ord)) slug from idx0 where {_strip("name")} <> '' group by all),
     r as (select vault, slug src, unnest(related) as ref from n where slug is not null), ed as (select distinct r.vault, r.src, idx.slug dst from r join idx on idx.vault = r.vault and idx.k = replace(lower({_strip("ref")}), 'ß', 'ss') where r.src <> idx.slug),
-    gl as (select a.bundle, a.concept a, b.concept b from gd a join gd b on a.bundle = b.bundle and b.keys[2] = a.concept),
-    e as (select gl.bundle, x.slug xs, y.slug ys from gl left join mg x on x.bundle = gl.bundle and x.concept = gl.a left join mg y on y.bundle = gl.bundle and y.concept = gl.b)
+    e as (select gl.bundle, x.slug xs, y.slug ys from gp gl left join mg x on x.bundle = gl.bundle and x.concept = gl.a left join mg y on y.bundle = gl.bundle and y.concept = gl.b)
     select bundle, count(*) filter (hit) linked, count(*) links, count(*) filter (hit) / count(*) recall from (select bundle, exists (select 1 from ed where ed.vault = e.bundle and ((ed.src = xs and ed.dst = ys) or (ed.src = ys and ed.dst = xs))) hit from e) group by bundle"""

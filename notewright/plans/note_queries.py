@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.unicode_sql import nfkc_folded
 from ..operators import notes as nt
 from ..operators.books import one_text
 from ..session import table
@@ -111,8 +112,8 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{_W}+|{_W}+$', '', 'g')"
 
 
-def _norm(x: str) -> str:
-    return f"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '{_W}+', ' ', 'g'))"
+def _squeeze(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{_W}+', ' ', 'g'))"
 
 
 def _fold(x: str) -> str:
@@ -126,11 +127,13 @@ def _key(x: str) -> str:
 _N = """n as (select ord, any_value(vault) vault, any_value(type) type, any_value(slug) slug, any_value(title) title, any_value(description) description, any_value(tags) tags, any_value(aliases) aliases,
   any_value(confidence) confidence, any_value(status) status, any_value(body) body, any_value(related) related, any_value(citations) citations from notes where ord is not null group by ord)"""
 _CANON = "case lower(type) " + " ".join(f"when '{k.lower()}' then '{k}'" for k in nt.SECTIONS) + " end"
-_G = f"""s as (select slug, any_value(raw) raw, any_value(page_offset) page_offset from raw_sources where slug is not null group by slug),
-sn as (select slug, page_offset, {_norm("raw")} nrm, raw from s),
+_G = f"""s0 as (select slug, any_value(raw) x, any_value(page_offset) page_offset from raw_sources where slug is not null group by slug),
+s as (select slug, page_offset, {nfkc_folded("x")} raw from s0),
+sn as (select slug, page_offset, {_squeeze("raw")} nrm, raw from s),
 c as (select ord, generate_subscripts(citations, 1) - 1 pos, unnest(citations) c from n),
-g0 as (select ord, pos, c.source as source, c.chapter as chapter, c.quote as quote, page_offset, raw, nullif(case when {_norm("c.quote")} <> '' then instr(nrm, {_norm("c.quote")}) end, 0) as at_ from c left join sn on sn.slug = c.source where c is not null),
-pg as (select slug, generate_subscripts(x, 1) p, {_norm("unnest(x)")} t from (select slug, string_split(raw, chr(12)) x from s)),
+cq as (select x, {_squeeze(nfkc_folded("x"))} q from (select distinct c.quote x from c)),
+g0 as (select ord, pos, c.source as source, c.chapter as chapter, c.quote as quote, page_offset, raw, nullif(case when q <> '' then instr(nrm, q) end, 0) as at_ from c left join cq on cq.x = c.quote left join sn on sn.slug = c.source where c is not null),
+pg as (select slug, generate_subscripts(x, 1) p, {_squeeze("unnest(x)")} t from (select slug, string_split(raw, chr(12)) x from s)),
 ps as (select slug, p, t, 1 + coalesce(sum(case when t = '' then 0 else len(t) + 1 end) over (partition by slug order by p rows between unbounded preceding and 1 preceding), 0) st from pg),
 g as (select g0.ord, g0.pos, g0.source, g0.chapter, g0.quote, at_, page_offset, (select max(p) from ps where ps.slug = g0.source and t <> '' and st <= at_) as page from g0),
 gr as (select ord, cast(pos as int) pos, source, chapter, quote, at_ as "at", cast(page as int) page, case when page is null then null when page_offset is null then page || ' (pdf)' else cast(greatest(1, page - page_offset) as varchar) end folio from g)"""

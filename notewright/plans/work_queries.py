@@ -12,6 +12,8 @@ from ..operators import upgrades as up
 from ..session import cut, table
 from ..sources import files as fs
 from ..streaming.build import event_windows as _windows
+from .book_queries import _CHAPTERS
+from .book_queries import _S as _SOURCES
 from .note_queries import _notes, _src
 
 
@@ -121,27 +123,35 @@ def _chain(x: str, steps) -> str:
 
 
 _HTML = _chain("raw", [*((rf"(?is)<{t}\b.*?</{t}\s*>", "") for t in ("script", "style", "head")), ("(?s)<!--.*?-->", ""), (r"(?i)<(?:p|br|h[1-6]|li|div)\b[^>]*>", "\n"), ("</?[A-Za-z][^>]*>", "")])
-for _ref, _ch in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
-    _HTML = f"replace({_HTML}, '{_ref}', {_ch})"
-_RTF = _chain("raw", [(r"\\''[0-9a-fA-F]{2}", " "), (r"\\par[d]?", "\n"), (r"\\tab", "\t"), (r"\\[a-zA-Z]+-?\d* ?", ""), (r"[{}]", "")])
+_NAMED = {"lt": "'<'", "gt": "'>'", "quot": "chr(34)", "nbsp": "chr(160)", "amp": "'&'", "eacute": "'é'", "mdash": "'—'", "hellip": "'…'"}
+_CHAR = " ".join(f"when t = '&{n};' then {c}" for n, c in _NAMED.items())
+_HTML = f"""array_to_string(list_transform(regexp_extract_all({_HTML}, '&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[a-z]+;|&|[^&]+'), lambda t: case {_CHAR}
+    when t like '&#x%;' then chr(cast('0x' || t[4:len(t) - 1] as int)) when t like '&#%;' then chr(cast(t[3:len(t) - 1] as int)) else t end), '')"""
+#: One piece of an RTF text after the other: escapes in hex, control words, signs, braces, text.
+_RTF = r"""array_to_string(list_transform(regexp_extract_all(raw, '\\''[0-9a-fA-F]{2}|\\[a-zA-Z]+(?:-?[0-9]+)? ?|\\[^a-zA-Z]|[{}]|[^\\{}]+|\\'), lambda t: case when t in ('{', '}') then '' when t not like '\%' or t = '\' then t when t like '\''%' and len(t) = 4 then ' '
+    when regexp_full_match(t, '\\(?:pard?|line|sect|page|row)(?:-?[0-9]+)? ?') then chr(10) when regexp_full_match(t, '\\(?:tab|cell)(?:-?[0-9]+)? ?') then chr(9) when regexp_full_match(t, '\\[a-zA-Z]+(?:-?[0-9]+)? ?') then ''
+    when t = '\~' then chr(160) when t = '\_' then '-' when t in ('\*', '\-') then '' else t[2:] end), '')"""
+_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: len(x) >= 3))"
 _W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _STOP = ", ".join(f"'{x}'" for x in nt.TITLE_STOP)
 ORACLE = {
-    "html_to_text": f"with {_S} select slug, {_HTML} as text from s where contains(raw, '<')",
-    "rtf_to_text": f"with {_S} select slug, {_RTF} as text from s where contains(raw, chr(92))",
+    "html_to_text": f"with {_S} select slug, {_HTML} as text from s",
+    "rtf_to_text": f"with {_S} select slug, {_RTF} as text from s",
     "sha256_text": f"with {_S} select slug, sha256(raw) sha256 from s",
     "extraction": f"""with {_S}, f as (select slug || '.' || case when format in ('html', 'rtf') then format else 'txt' end path, case when format in ('html', 'rtf') then format else 'text' end format, raw from s)
         select path, format, case format when 'html' then 'html' when 'rtf' then 'rtf-regex' else 'plain' end as method, sha256(raw) sha256, case format when 'html' then ['html:ok'] when 'rtf' then ['striprtf:unavailable', 'rtf-regex:ok'] else ['plain:ok'] end attempts, true has_text from f""",
     "match_replies": "select match_id, match_id % 4 <> 3 and coalesce(bool_or(same), false) same from note_matches group by match_id",
     "verdict_tally": f"""with n as (select ord, any_value(vault) vault, any_value(body) body, any_value(citations) citations from notes where ord is not null group by ord),
         t as (select ord, vault, {_TOK.format("coalesce(body, '')")} b, {_TOK.format("array_to_string(list_transform(coalesce(citations, []), lambda c: coalesce(c.quote, '')), ' ')")} q from n),
-        v as (select vault, case when ord % 7 = 0 then 'unsupported' when len(list_intersect(b, q)) / greatest(len(b), 1) >= 0.8 then 'supported' when len(list_intersect(b, q)) / greatest(len(b), 1) >= 0.5 then 'overreach' else 'unsupported' end v from t)
+        v as (select vault, case when len(list_intersect(b, q)) / greatest(len(b), 1) >= 0.8 then 'supported' when len(list_intersect(b, q)) / greatest(len(b), 1) >= 0.5 then 'overreach' else 'unsupported' end v from t)
         select vault, count(*) total, count(*) filter (v = 'supported') supported, count(*) filter (v = 'overreach') overreach, count(*) filter (v = 'unsupported') unsupported, count(*) filter (v = 'supported') / count(*) faithfulness from v group by vault""",
     "judge_batches": """with n as (select distinct ord, vault, ord % 32 part from notes where ord is not null), r as (select *, (row_number() over (partition by vault, part order by ord) - 1) // 10 batch from n)
         select vault, part, cast(batch as int) batch, cast(count(*) as int) notes, min(ord) first_ord from r group by all""",
     "pending_chunks": "select id, any_value(source) source from chunks group by id having not bool_or(words is not null and label is not null)",
     "built_chunks": "select id, any_value(source) source from chunks group by id having bool_or(words is not null and label is not null)",
+    "cover_notes": f"""with {_SOURCES}, {_CHAPTERS}, h as (select distinct {_KEY.format(f"regexp_replace(heading, '{books.LEADING}', '')")} slug from c)
+        select slug from h where slug <> '' and slug not in (select {_KEY.format("slug")} from notes where slug is not null)""",
     "semver_delta": """with e as (select p_partkey, [cast(p_partkey % 3 as int), cast(p_size % 12 as int), cast(p_partkey % 20 as int)] v, case p_partkey % 4 when 0 then 'additive' when 1 then 'transform' else lower(split_part(p_type, ' ', 1)) end c from part)
         select case when c in ('additive', 'transform', 'regenerate') then c else 'skipped' end as plan, count(*) n, min(p_partkey) as first from e where v[1] * 10000 + v[2] * 100 + v[3] > 912 and v[1] * 10000 + v[2] * 100 + v[3] <= 20103 group by 1""",
     "rule_review": r"""with l as (select concat_ws('/', doc_type, doc_id) path, generate_subscripts(x, 1) n, unnest(x) line from (select doc_type, doc_id, string_split(text, chr(10)) x from documents where text is not null)),
