@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ascii_squeeze
-from ..operators.skew import HOT_ROWS, hot_keys, join_by_key
+from ..operators.skew import HOT_ROWS, salted_join
 
 #: Letters of other scripts that look like a Latin letter, and hyphens that look like "-".
 LOOKALIKES = {
@@ -36,7 +37,7 @@ _VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical
 @lru_cache(1)
 def _kept() -> re.Pattern:
     """Characters whose compatibility form looks different (superscripts, fractions, circled ...), found by rule."""
-    own = [c for c in map(chr, range(0x80, 0x33FF)) if unicodedata.decomposition(c).startswith(_VISIBLE)]
+    own = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(c).startswith(_VISIBLE) and c not in LOOKALIKES]
     return re.compile("([" + "".join(map(re.escape, own)) + "]+)")
 
 
@@ -108,20 +109,14 @@ def grounded(notes: DataFrame, raw_sources: DataFrame, hot_rows: int = HOT_ROWS)
     the consistent form), ``absent`` or ``no_source`` (unknown or null source,
     or null quote). An empty quote occurs as written. Sources are rewritten
     once each, not once a citation; the citations of a source cited by very
-    many meet it by broadcast, all others by shuffle, and both tests run as
-    built-in expressions. Copies of a note or source count once; a source with
+    many spread over several copies of it, and both tests run as built-in
+    expressions. Copies of a note or source count once; a source with
     several differing texts under one slug is read in its greatest text.
     """
     q = with_canonical(quotes(notes), "quote", "_q")
     q = q.withColumn("same_quote", F.trim(ascii_squeeze(F.col("_q")))).drop("_q")
     per = q.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("source is not null")
-    hot = hot_keys(per, ["source"], rows=hot_rows)
-    hot_texts = None
-    if hot is not None:
-        # broadcast only while the texts of the hot sources are proven small
-        size = raw_sources.join(F.broadcast(hot), raw_sources["slug"] == hot["source"], "left_semi").agg(F.sum(F.length("raw"))).first()[0] or 0
-        hot_texts = hot if size <= 64 << 20 else None
-    got = join_by_key(q, sources(raw_sources), ["source"], "left", hot_texts)
+    got = salted_join(q, sources(raw_sources), ["source"], per, ["ord", "pos"], rows=hot_rows)
     plain = F.contains(F.col("as_is"), F.trim(ascii_squeeze(F.col("quote"))))
     rewritten = F.contains(F.coalesce("same", "as_is"), F.col("same_quote"))
     how = F.when(F.col("as_is").isNull() | F.col("quote").isNull(), "no_source").when(plain, "as_written").when(rewritten, "rewritten").otherwise("absent")

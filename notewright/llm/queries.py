@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.unicode_sql import by_rule, compatibility, mapped
 from ..session import table
 from . import components, lookalike, markup, mixing, neardup, packing, repetition, splitting
 
@@ -125,7 +126,31 @@ _PIECES = rf"""with recursive c as (select id, any_value(source) source, any_val
       cast(e - s as int) words, cast(e0 - s as int) overlap, coalesce(case when n > 0 then coalesce((select max_by(label, k) from hd where hd.slug = p.source and hd.k <= s), (select min_by(label, k) from hd where hd.slug = p.source and hd.k < e)) end, nullif(trim(p.label), ''),
       'lines ' || case when n = 0 then coalesce(a::varchar, 'None') else x.line::varchar end || '-' || case when n = 0 then coalesce(z::varchar, 'None') else y.line::varchar end) label, nat "natural", case when n = 0 then '' else substring(raw, cast(x.off + 1 as bigint), cast(y.off + len(y.t) - x.off as bigint)) end as text
     from p left join w x on x.slug = p.source and x.k = s and n > 0 left join w y on y.slug = p.source and y.k = e - 1 and n > 0 left join r on r.slug = p.source"""
+
+
+def _same_form(x: str) -> str:
+    """:func:`lookalike.canonical` in SQL, its tables made from the operator's own character rules."""
+    kept = lookalike._kept()
+
+    def first(c: str) -> str | None:
+        return "" if lookalike._IGNORABLE.match(c) else " " if lookalike._SPACES.match(c) else None if kept.match(c) else compatibility(c)
+
+    composed = f"nfc_normalize({mapped(x, by_rule(first, 1))})"
+    return f"regexp_replace(nfc_normalize({mapped(composed, lookalike.LOOKALIKES)}), '[\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', ' ', 'g')"
+
+
+def _squeezed(x: str) -> str:
+    return f"regexp_replace({x}, '[ \\t\\n\\r\\x0b\\f]+', ' ', 'g')"
+
+
+_GROUNDED = f"""with q as (select distinct ord, generate_subscripts(citations, 1) - 1 pos, unnest(citations) c from notes), d as (select distinct ord, pos, c.source as source, c.quote as quote from q),
+    f as (select quote, trim({_squeezed("x")}) same_quote from (select quote, {_same_form("quote")} x from (select distinct quote from d where quote is not null))),
+    s as (select slug, {_squeezed("raw")} as_is, {_squeezed("x")} same from (select slug, raw, {_same_form("raw")} x from (select slug, max(raw) raw from raw_sources where slug is not null and raw is not null group by slug))),
+    g as (select ord, cast(pos as int) pos, source, d.quote, same_quote, case when as_is is null or d.quote is null then 'no_source' when contains(as_is, trim({_squeezed("d.quote")})) then 'as_written' when contains(same, same_quote) then 'rewritten' else 'absent' end how
+      from d left join f on f.quote = d.quote left join s on s.slug = d.source)"""
 ORACLE = {
+    "p5_found": _GROUNDED + " select distinct ord, pos from g where how = 'rewritten'",
+    "p5_forms": _GROUNDED + " select * from g",
     "p4_pieces": _PIECES,
     "p3_found": _GROUPS + " select distinct g group_ord, ord from g where g <> ord",
     "p3_groups": _GROUPS + " select distinct notes.ord, coalesce(g.g, notes.ord) group_ord from notes left join g using (ord) where notes.ord is not null",
