@@ -174,19 +174,19 @@ def lint(bundle: DataFrame, allow_dangling: bool = False, min_coverage: float =
     """All findings of bundles: (bundle, level, path, line, category, message)."""
     p = parsed(bundle)
     none = F.lit(None)
-    missing = _finding(p.filter("not reserved and note_type = ''"), "error", F.lit(1), "missing-type", F.lit("missing or empty 'type:' in frontmatter"))
+    missing = _finding(p.filter("not reserved and note_type = ''"), "error", F.lit(1), "missing-type", F.lit("the front matter names no type"))
     has = strip(F.try_element_at(text_lines(F.col("text")), F.lit(1))) == "---"
     only_version = F.coalesce((F.col("rel") == "index.md") & (F.array_distinct(F.transform("fields", lambda e: e["k"])) == F.array(F.lit(VERSION_KEY))), F.lit(False))
-    reserved = _finding(p.filter(F.col("name") == "index.md").filter(has & ~only_version), "error", F.lit(1), "reserved-file", F.lit("index.md is reserved and must not contain frontmatter (only the bundle-root index.md may carry a single 'okf_version' key)"))
+    reserved = _finding(p.filter(F.col("name") == "index.md").filter(has & ~only_version), "error", F.lit(1), "reserved-file", F.lit("a listing file has front matter; the root's own may have the version key alone"))
     heads = p.filter(F.col("name") == "log.md").select("bundle", "rel", F.posexplode(text_lines(F.col("text"))).alias("i", "l")).select("bundle", "rel", (F.col("i") + 1).alias("n"), F.regexp_extract("l", DATE_HEADING, 1).alias("d")).filter("d <> ''")
     dated = heads.withColumn("day", F.when(F.col("d").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("d", "yyyy-MM-dd")))
-    bad = _finding(dated.filter("day is null"), "error", F.col("n"), "log-format", F.concat(F.lit("malformed date heading: '"), "d", F.lit("'")))
+    bad = _finding(dated.filter("day is null"), "error", F.col("n"), "log-format", F.concat(F.lit("no such day: "), "d"))
     order = dated.filter("day is not null").selectExpr("*", "lag(day) over (partition by bundle, rel order by n) as before").filter("day > before")
-    order = _finding(order, "error", F.col("n"), "log-format", F.format_string("log entries not newest-first: %s after %s", F.col("day").cast("string"), F.col("before").cast("string")))
-    loose = _finding(dangling(bundle), "warning" if allow_dangling else "error", F.col("line_no"), "dangling-link", F.concat(F.lit("dangling link -> "), "target"))
-    uncited = _finding(p.filter("atomic").filter(~is_cited(F.col("text"))), "error", none, "coverage", F.lit("no chapter-ref citation"))
+    order = _finding(order, "error", F.col("n"), "log-format", F.format_string("%s stands below the older %s", F.col("day").cast("string"), F.col("before").cast("string")))
+    loose = _finding(dangling(bundle), "warning" if allow_dangling else "error", F.col("line_no"), "dangling-link", F.concat(F.lit("leads nowhere: "), "target"))
+    uncited = _finding(p.filter("atomic").filter(~is_cited(F.col("text"))), "error", none, "coverage", F.lit("cites no chapter"))
     low = coverage(bundle).filter((F.col("atomic") > 0) & (F.col("coverage") < min_coverage - EPSILON)).withColumn("rel", F.lit("."))
-    gate = _finding(low, "error", none, "coverage", F.format_string("citation coverage %d/%d below the threshold", F.col("cited"), F.col("atomic")))
+    gate = _finding(low, "error", none, "coverage", F.format_string("%d of %d notes cite a chapter, too few", F.col("cited"), F.col("atomic")))
     t = related_targets(bundle)
     edges = t.select("bundle", F.col("rel").alias("path"), F.col("path").alias("rel")).distinct()
     peers = p.filter("atomic").select("bundle", F.col("rel").alias("path"))

@@ -134,23 +134,37 @@ def merged(notes: DataFrame, grounded: DataFrame, roots: DataFrame) -> DataFrame
     itself, else from the first; the body is the longest, the earliest of
     equals; tags and aliases are united in order, with folded slugs as
     aliases; citations are those of the first note and every new (source,
-    chapter, quote) after it.
+    chapter, quote) after it; ``related`` holds the distinct entries, sorted.
+    Lists are united as rows, one per entry, so that the notes of one slug
+    never gather in one task, only their distinct entries.
     """
     kept = grounded.filter("at is not null").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("pos", "source", "chapter", "quote", "folio"))).alias("g"))
-    rows = notes.join(kept, "ord").join(roots.withColumnRenamed("root", "target"), "slug", "left").withColumn("canonical", F.coalesce("target", "slug"))
-    empty = F.array().cast("array<string>")
-    own = F.when(F.col("slug") != F.col("canonical"), F.array("slug")).otherwise(empty)
-    item = F.struct("ord", "slug", "type", "title", "description", "confidence", "status", F.coalesce("tags", empty).alias("tags"), F.coalesce("aliases", empty).alias("aliases"), own.alias("own"), "g")
-    ranked = rows.select("vault", "canonical", F.length("body").alias("_n"), "body", "ord", item.alias("item"))
-    per = ranked.groupBy("vault", "canonical").agg(F.array_sort(F.collect_list("item")).alias("items"), F.max_by("body", F.struct(F.coalesce("_n", F.lit(-1)), -F.col("ord"))).alias("body"), F.count(F.lit(1)).alias("n"))
-    later = F.filter(F.slice("items", F.lit(2), F.greatest(F.lit(0), F.size("items") - 1)), lambda x: x["slug"] == F.col("canonical"))
-    ident = F.coalesce(F.try_element_at(later, F.lit(-1)), F.element_at("items", 1))
-    union = lambda f: F.aggregate(F.slice("items", F.lit(2), F.greatest(F.lit(0), F.size("items") - 1)), f(F.element_at("items", 1)), lambda acc, x: F.concat(acc, F.array_except(f(x), acc)))
-    cite = lambda x: F.transform(x["g"], lambda c: F.struct(c["source"].alias("source"), c["chapter"].alias("chapter"), c["quote"].alias("quote"), c["folio"].alias("folio")))
-    with_ident = per.withColumn("i", ident)
-    return with_ident.select(
-        "vault", F.col("canonical").alias("slug"), "i.type", "i.title", "i.description", "i.confidence", "i.status", "body",
-        union(lambda x: x["tags"]).alias("tags"), union(lambda x: F.concat(x["aliases"], x["own"])).alias("aliases"), union(cite).alias("citations"), F.col("n").alias("occurrences"), (F.col("n") > 1).alias("merged"),
+    key, empty = ["vault", "canonical"], F.array().cast("array<string>")
+    rows = cut(notes.join(kept, "ord").join(roots.withColumnRenamed("root", "target"), "slug", "left").withColumn("canonical", F.coalesce("target", "slug")))
+    named = F.col("slug") == F.col("canonical")
+    fields = F.struct("type", "title", "description", "confidence", "status")
+    size = F.struct(F.coalesce(F.length("body"), F.lit(-1)), -F.col("ord"))
+    per = rows.groupBy(*key).agg(
+        F.min("ord").alias("first"), F.min_by(fields, "ord").alias("of_first"), F.max(F.when(named, F.col("ord"))).alias("last"), F.max_by(fields, F.when(named, F.col("ord"))).alias("of_last"),
+        F.max_by("body", size).alias("body"), F.count(F.lit(1)).alias("n"),
+    )
+    # every entry of every list with its place; those of the first note stay, of the others each new one once
+    none = F.lit(None).cast("struct<source:string,chapter:int,quote:string,folio:string>")
+    entry = lambda kind, v, c, i: F.struct(F.lit(kind).alias("kind"), v.alias("v"), c.alias("c"), i.cast("int").alias("i"))
+    own = F.when(~named, F.array("slug")).otherwise(empty)
+    of = lambda kind, xs: F.transform(xs, lambda x, i: entry(kind, x, none, i))
+    cited = F.transform("g", lambda x, i: entry("citations", F.lit(None).cast("string"), F.struct(x["source"].alias("source"), x["chapter"].alias("chapter"), x["quote"].alias("quote"), x["folio"].alias("folio")), i))
+    every = F.concat(of("tags", F.coalesce("tags", empty)), of("aliases", F.concat(F.coalesce("aliases", empty), own)), of("related", F.coalesce("related", empty)), cited)
+    each = rows.select(*key, "ord", F.explode(every).alias("e")).select(*key, "ord", "e.*").join(per.select(*key, "first"), key)
+    per_value = each.groupBy(*key, "kind", "v", "c").agg(F.collect_list(F.when(F.col("ord") == F.col("first"), F.struct("ord", "i"))).alias("kept"), F.min(F.struct("ord", "i")).alias("new"))
+    place = F.explode(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.array("new")))
+    placed = per_value.select(*key, "kind", "v", "c", place.alias("at")).withColumn("x", F.struct("at", "v", "c"))
+    lists = placed.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("x")))).alias(k) for k in ("tags", "aliases", "related", "citations")])
+    values = lambda k: F.coalesce(F.transform(k, lambda x: x["v"]), empty).alias(k)
+    got = per.withColumn("i", F.when(F.col("last") > F.col("first"), F.col("of_last")).otherwise(F.col("of_first"))).join(lists, key, "left")
+    return got.select(
+        "vault", F.col("canonical").alias("slug"), "i.type", "i.title", "i.description", "i.confidence", "i.status", "body", values("tags"), values("aliases"),
+        F.array_sort(F.array_distinct(F.coalesce(F.transform("related", lambda x: x["v"]), empty))).alias("related"), F.transform("citations", lambda x: x["c"]).alias("citations"), F.col("n").alias("occurrences"), (F.col("n") > 1).alias("merged"),
     )
 
 
@@ -205,20 +219,33 @@ def apply_merges(notes: DataFrame, folded: DataFrame) -> DataFrame:
 def match_files(slugs: DataFrame, files: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(slug, source, score, ambiguous): the file whose name holds the largest share of a slug's tokens, if no other ties with it.
 
-    Only slugs and files that share a token meet (by token, not by a cross
-    product); a slug's best two follow from one aggregate.
+    Tokens are ranked rare first over slugs and files. A file that holds the
+    share ``threshold`` of a slug's tokens holds one of its rarest tokens, as
+    many as may be missing and one; only those meet file names, so a word
+    common to all names pairs nothing, and whole sets are compared afterwards.
+    Slugs that no file reaches still get the best share as their ``score``:
+    they alone meet the distinct token sets of the files, by token.
     """
     toks = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0), lambda t: (F.length(t) >= 3) & ~t.isin(*FILE_STOP))
     s = slugs.select("slug").distinct().withColumn("t", toks(F.col("slug")))
-    per_token = s.select("slug", F.size("t").alias("n"), F.explode("t").alias("x")).groupBy("slug", "n", "x").agg(F.count(F.lit(1)).alias("k"))
-    f = files.select("name").distinct().select("name", F.explode(F.array_distinct(toks(F.col("name")))).alias("x"))
-    scored = per_token.join(f, "x").groupBy("slug", "name").agg((F.sum("k") / F.max("n")).alias("score"))
-    best = scored.groupBy("slug").agg(F.max(F.struct("score", "name")).alias("b"), F.sort_array(F.collect_set("score"), False).alias("scores"), F.max("score").alias("top"))
-    ties = scored.join(best.select("slug", "top"), "slug").filter("score = top").groupBy("slug").agg(F.count(F.lit(1)).alias("ties"))
+    f = files.select("name").distinct().withColumn("ft", F.array_distinct(toks(F.col("name"))))
+    f_each = f.select("name", F.explode("ft").alias("x"))
+    df = f_each.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+    each = s.select("slug", F.size("t").alias("n"), F.explode("t").alias("x")).groupBy("slug", "n", "x").agg(F.count(F.lit(1)).alias("k"))
+    ranked = each.join(df, "x", "left").selectExpr("slug", "n", "x", "k", "sum(k) over (partition by slug order by coalesce(df, 0), x) - k as before")
+    # tokens before this one may all be missing only while enough are left behind them
+    prefix = ranked.filter((F.col("n") - F.col("before")) >= F.ceil(F.col("n") * threshold - 1e-9)).select("slug", "x")
+    met = prefix.join(f_each, "x").select("slug", "name").distinct()
+    held = F.size(F.filter("t", lambda x: F.array_contains("ft", x)))
+    scored = met.join(s, "slug").join(f, "name").select("slug", "name", (held / F.size("t")).alias("score")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("slug").agg(F.max(F.struct("score", "name")).alias("b"))
+    ties = scored.join(best, "slug").filter(F.col("score") == F.col("b.score")).groupBy("slug").agg(F.count(F.lit(1)).alias("ties"))
     got = s.select("slug").join(best, "slug", "left").join(ties, "slug", "left")
-    score = F.coalesce("top", F.lit(0.0))
-    sure, tied = (score >= threshold) & (F.col("ties") == 1), (score >= threshold) & (F.col("ties") > 1)
-    return got.select("slug", F.when(sure, F.col("b.name")).alias("source"), F.round(score, 3).alias("score"), F.coalesce(tied, F.lit(False)).alias("ambiguous"))
+    sets = f.select("ft").distinct().withColumn("id", F.xxhash64("ft")).select("id", F.explode("ft").alias("x"))
+    below = each.join(best, "slug", "left_anti").join(sets, "x").groupBy("slug", "id").agg((F.sum("k") / F.max("n")).alias("share")).groupBy("slug").agg(F.max("share").alias("share"))
+    got = got.join(below, "slug", "left")
+    sure = F.col("ties") == 1
+    return got.select("slug", F.when(sure, F.col("b.name")).alias("source"), F.round(F.coalesce("b.score", "share", F.lit(0.0)), 3).alias("score"), F.coalesce(F.col("ties") > 1, F.lit(False)).alias("ambiguous"))
 
 
 def section_counts(notes: DataFrame) -> DataFrame:

@@ -78,10 +78,29 @@ def taken_names(notes: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def ungrounded_quotes(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """(bundle, rel, quote) of ``[Ch ...] "quote"`` lines whose quote stands in no line of the bundle's sources (bundle, line), letter by letter."""
+    """(bundle, rel, quote) of ``[Ch ...] "quote"`` citations whose quote stands in no line of the bundle's sources (bundle, line), letter by letter.
+
+    A line holds a quote only if it holds the quote's first word run of
+    letters and digits in full, the first and last of it as parts of words; so
+    a quote of three runs or more meets only lines with its longest inner run,
+    and shorter ones are looked for in lines grouped by their three-letter
+    pieces. No quote meets all lines.
+    """
     q = files.select("bundle", "rel", F.explode(F.regexp_extract_all("text", F.lit(r'\[Ch[^\]]*\]\s*"([^"\n]+)"'), 1)).alias("quote")).distinct()
-    hit = q.join(sources, "bundle").filter(F.contains(F.col("line"), F.col("quote"))).select("bundle", "rel", "quote").distinct()
-    return q.join(hit, ["bundle", "rel", "quote"], "left_anti")
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3))))
+    runs = F.regexp_extract_all("quote", F.lit(r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"), 0)
+    longest = F.try_element_at(F.array_sort(F.transform(runs, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"]
+    q = q.withColumn("run", longest).withColumn("key", F.coalesce(F.concat(F.lit("w"), "run"), F.concat(F.lit("p"), F.substring("quote", 1, 3))))
+    lines = sources.select("bundle", "line").distinct()
+    by_run = lines.select("bundle", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[\p{L}\p{N}]+"), 0))).alias("w")).select("bundle", "line", F.concat(F.lit("w"), "w").alias("key"))
+    by_piece = lines.select("bundle", "line", F.explode(pieces(F.col("line"))).alias("w")).select("bundle", "line", F.concat(F.lit("p"), "w").alias("key"))
+    asked = q.select("bundle", "key").distinct()
+    hit = q.join(by_run.unionByName(by_piece).join(asked, ["bundle", "key"], "left_semi"), ["bundle", "key"]).filter(F.contains(F.col("line"), F.col("quote")))
+    # a quote of one or two letters is shorter than any piece
+    short = q.filter(F.col("run").isNull() & (F.length("quote") < 3))
+    letters = lines.select("bundle", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("line"))), lambda i: F.substr("line", i, F.lit(2)))).alias("two")).select("bundle", F.explode(F.array("two", F.substring("two", 1, 1))).alias("quote")).distinct()
+    found = hit.select("bundle", "rel", "quote").unionByName(short.join(letters, ["bundle", "quote"]).select("bundle", "rel", "quote")).distinct()
+    return q.select("bundle", "rel", "quote").join(found, ["bundle", "rel", "quote"], "left_anti")
 
 
 def page_anchored(method: Column, has_feeds: Column) -> Column:

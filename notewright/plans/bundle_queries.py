@@ -140,12 +140,12 @@ rt as (select lk.bundle, lk.rel, lk.n, lk.path from lk join rs using (bundle, re
 lg as (select l.bundle, l.rel, n, regexp_extract(line, '^#{2,3}\s+(\d{4}-\S*)\s*$', 1) d from l join pa using (bundle, rel) where name = 'log.md'),
 ld as (select *, case when regexp_full_match(d, '\d{4}-\d{2}-\d{2}') then try_cast(d as date) end dy from lg where d <> ''),
 lo as (select *, lag(dy) over (partition by bundle, rel order by n) bf from ld where dy is not null),
-fi as (select bundle, 'error' as level, rel path, 1 as line, 'missing-type' category, 'missing or empty ''type:'' in frontmatter' message from pa where not rs and nt = ''
- union all select bundle, 'error', rel, n, 'log-format', 'malformed date heading: ''' || d || '''' from ld where dy is null
- union all select bundle, 'error', rel, n, 'log-format', 'log entries not newest-first: ' || cast(dy as varchar) || ' after ' || cast(bf as varchar) from lo where dy > bf
- union all select bundle, 'error', rel, n, 'dangling-link', 'dangling link -> ' || target from dg
- union all select pa.bundle, 'error', pa.rel, null, 'coverage', 'no chapter-ref citation' from pa left join ci using (bundle, rel) where at_ and ci.rel is null
- union all select bundle, 'error', '.', null, 'coverage', 'citation coverage ' || cited || '/' || atomic || ' below the threshold' from cv where atomic > 0 and cited / atomic < 0.8 - 1e-9
+fi as (select bundle, 'error' as level, rel path, 1 as line, 'missing-type' category, 'the front matter names no type' message from pa where not rs and nt = ''
+ union all select bundle, 'error', rel, n, 'log-format', 'no such day: ' || d from ld where dy is null
+ union all select bundle, 'error', rel, n, 'log-format', cast(dy as varchar) || ' stands below the older ' || cast(bf as varchar) from lo where dy > bf
+ union all select bundle, 'error', rel, n, 'dangling-link', 'leads nowhere: ' || target from dg
+ union all select pa.bundle, 'error', pa.rel, null, 'coverage', 'cites no chapter' from pa left join ci using (bundle, rel) where at_ and ci.rel is null
+ union all select bundle, 'error', '.', null, 'coverage', cited || ' of ' || atomic || ' notes cite a chapter, too few' from cv where atomic > 0 and cited / atomic < 0.8 - 1e-9
  union all select rt.bundle, 'warning', rt.rel, rt.n, 'reciprocity', 'no link back from ' || rt.path from rt join pa q on q.bundle = rt.bundle and q.rel = rt.path and q.at_ where not exists (select 1 from rt r2 where r2.bundle = rt.bundle and r2.rel = rt.path and r2.path = rt.rel))
 """
 ORACLE = {

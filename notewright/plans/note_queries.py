@@ -68,7 +68,7 @@ def _merged(spark, d):
 
 def note_merge(spark, d):
     m = _merged(spark, d)
-    return m.select("vault", "slug", "type", "title", "description", "confidence", "status", "body", "tags", "aliases", F.size("citations").alias("citations"), "occurrences", "merged")
+    return m.select("vault", "slug", "type", "title", "description", "confidence", "status", "body", "tags", "aliases", "related", F.size("citations").alias("citations"), "occurrences", "merged")
 
 
 def note_citations(spark, d):
@@ -200,5 +200,6 @@ ORACLE = {
         coalesce((select list(a order by rn, i) from (select rn, i, a, min(row(rn, i)) over (partition by a) f from tg where tg.vault = m.vault and tg.canonical = m.canonical) where rn = 1 or row(rn, i) = f), []) tags,
         coalesce((select list(a order by rn, i) from (select rn, i, a, min(row(rn, i)) over (partition by a) f from al where al.vault = m.vault and al.canonical = m.canonical) where rn = 1 or row(rn, i) = f), []) aliases,
         cast((select count(*) from (select rn, i, a, min(row(rn, i)) over (partition by a) f from ct where ct.vault = m.vault and ct.canonical = m.canonical) where rn = 1 or row(rn, i) = f) as int) citations,
+        coalesce((select list_sort(list_distinct(flatten(list(related)))) from m r where r.vault = m.vault and r.canonical = m.canonical), []) related,
         occ occurrences, occ > 1 as merged from m join ida on ida.vault = m.vault and ida.canonical = m.canonical and ida.pick = m.rn""",
 }

@@ -146,7 +146,7 @@ ORACLE = {
         t as (select ord, vault, {_TOK.format("coalesce(body, '')")} b, {_TOK.format("array_to_string(list_transform(coalesce(citations, []), lambda c: coalesce(c.quote, '')), ' ')")} q from n),
         v as (select vault, case when len(list_intersect(b, q)) / greatest(len(b), 1) >= 0.8 then 'supported' when len(list_intersect(b, q)) / greatest(len(b), 1) >= 0.5 then 'overreach' else 'unsupported' end v from t)
         select vault, count(*) total, count(*) filter (v = 'supported') supported, count(*) filter (v = 'overreach') overreach, count(*) filter (v = 'unsupported') unsupported, count(*) filter (v = 'supported') / count(*) faithfulness from v group by vault""",
-    "judge_batches": """with n as (select distinct ord, vault, ord % 32 part from notes where ord is not null), r as (select *, (row_number() over (partition by vault, part order by ord) - 1) // 10 batch from n)
+    "judge_batches": """with n0 as (select distinct ord, vault from notes where ord is not null), n as (select *, ord % cast(ceil(count(*) over (partition by vault) / 10000) as bigint) part from n0), r as (select *, (row_number() over (partition by vault, part order by ord) - 1) // 10 batch from n)
         select vault, part, cast(batch as int) batch, cast(count(*) as int) notes, min(ord) first_ord from r group by all""",
     "pending_chunks": "select id, any_value(source) source from chunks group by id having not bool_or(words is not null and label is not null)",
     "built_chunks": "select id, any_value(source) source from chunks group by id having bool_or(words is not null and label is not null)",
