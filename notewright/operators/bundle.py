@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, norm, strip, text_lines
+from ..functions.text import folded, let, norm, squeeze, strip, text_lines
 from .notes import SECTIONS, canonical_type
 
 #: Reserved names, exempt types, categories and patterns of the file format.
@@ -20,6 +20,8 @@ CITATIONS = r"(?i)^#{1,6}\s+citations\b"
 RELATED = r"(?i)^##\s+Related\b"
 EXTERNAL = r"^(https?://|mailto:|#)"
 MIN_COVERAGE, EPSILON = 0.8, 1e-9
+#: Entries of a listing that one file holds; longer listings go on in ``index-2.md`` and so on.
+PAGE = 10_000
 
 
 # --- rendering ------------------------------------------------------------------
@@ -42,7 +44,7 @@ def rendered(merged: DataFrame, links: DataFrame, titles: DataFrame, timestamp:
     ``links`` are (vault, src, dst), ``titles`` (source, source_title). Links
     to notes that are not in ``merged`` are left out; listings are sorted.
     """
-    notes = merged.withColumn("section", section_of(F.col("type")))
+    notes = merged.drop("related").withColumn("section", section_of(F.col("type")))
     index = notes.select("vault", F.col("slug").alias("dst"), F.col("title").alias("dt"), F.col("description").alias("dd"), F.col("section").alias("ds"))
     line = F.concat(F.lit("- ["), F.coalesce("dt", F.lit("")), F.lit("](/"), "ds", F.lit("/"), "dst", F.lit(".md) — "), F.coalesce("dd", F.lit("")))
     rel = links.join(index, ["vault", "dst"]).groupBy("vault", F.col("src").alias("slug")).agg(F.array_sort(F.collect_list(F.struct("dst", line.alias("line")))).alias("related"))
@@ -64,12 +66,29 @@ def rendered(merged: DataFrame, links: DataFrame, titles: DataFrame, timestamp:
     return got.select(F.col("vault").alias("bundle"), F.concat("section", F.lit("/"), "slug", F.lit(".md")).alias("rel"), text.alias("text"))
 
 
-def section_indexes(merged: DataFrame) -> DataFrame:
+def heading_of(section: Column) -> Column:
+    """A section's name as a heading: ``anti-patterns`` is Anti Patterns."""
+    return F.initcap(F.replace(section, F.lit("-"), F.lit(" ")))
+
+
+def paged(rows: DataFrame, keys: list[str], order: list[str], line: Column, page: int = PAGE) -> DataFrame:
+    """(keys, page, lines) of ordered lines, at most ``page`` of them a row, so that no listing gathers as a whole."""
+    numbered = rows.select(*keys, *order, line.alias("line")).selectExpr("*", f"row_number() over (partition by {', '.join(keys)} order by {', '.join(order)}, line) as n")
+    item = F.struct("n", "line")
+    per = numbered.groupBy(*keys, (F.floor((F.col("n") - 1) / page) + 1).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    return per.select(*keys, "page", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lines"))
+
+
+def index_name(page: Column) -> Column:
+    return F.when(page == 1, "index.md").otherwise(F.concat(F.lit("index-"), page.cast("string"), F.lit(".md")))
+
+
+def section_indexes(merged: DataFrame, page: int = PAGE) -> DataFrame:
     """(bundle, rel, text) of one sorted listing per section, of the notes that :func:`rendered` writes there."""
     line = F.concat(F.lit("- ["), F.coalesce("title", F.lit("")), F.lit("](/"), "section", F.lit("/"), "slug", F.lit(".md) — "), F.coalesce("description", F.lit("")))
-    per = merged.withColumn("section", section_of(F.col("type"))).groupBy("vault", "section").agg(F.array_sort(F.collect_list(F.struct("slug", line.alias("line")))).alias("l"))
-    text = F.concat(F.lit("# "), "section", F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n"))
-    return per.select(F.col("vault").alias("bundle"), F.concat("section", F.lit("/index.md")).alias("rel"), text.alias("text"))
+    per = paged(merged.withColumn("section", section_of(F.col("type"))), ["vault", "section"], ["slug"], line, page)
+    text = F.concat(F.lit("# "), heading_of(F.col("section")), F.lit("\n\n"), "lines", F.lit("\n"))
+    return per.select(F.col("vault").alias("bundle"), F.concat("section", F.lit("/"), index_name(F.col("page"))).alias("rel"), text.alias("text"))
 
 
 # --- reading ----------------------------------------------------------------------
@@ -155,6 +174,23 @@ def related_targets(bundle: DataFrame) -> DataFrame:
     return links(notes).join(related_lines(notes), ["bundle", "rel", "line_no"]).join(files, ["bundle", "path"], "left_semi").select("bundle", "rel", "line_no", "path")
 
 
+def note_parts(bundle: DataFrame) -> DataFrame:
+    """(bundle, rel, title, body, quotes) of every file: its first first-level heading, the text up to the next heading, and the first quoted passage of each line under a citations heading."""
+    rows = bundle.select("bundle", "rel", F.posexplode(text_lines(F.col("text"))).alias("n", "line"))
+    top = F.regexp_extract("line", r"^#\s+(.+)$", 1)
+    rows = rows.withColumn("h1", F.when(top != "", F.col("n"))).selectExpr("*", "min(h1) over (partition by bundle, rel) as first")
+    mark = F.when(F.col("n") == F.col("first"), "body").when(F.col("line").rlike(r"^#{1,6}\s"), F.when(F.col("line").rlike(CITATIONS), "citations").otherwise(""))
+    state = rows.withColumn("mark", mark).selectExpr("*", "last(mark, true) over (partition by bundle, rel order by n) as part")
+    held = F.col("mark").isNull()
+    quote = F.regexp_extract("line", '"([^"]+)"', 1)
+    per = state.groupBy("bundle", "rel").agg(
+        F.coalesce(F.max(F.when(F.col("n") == F.col("first"), strip(top))), F.lit("")).alias("title"),
+        F.array_sort(F.collect_list(F.when(held & (F.col("part") == "body"), F.struct("n", "line")))).alias("b"),
+        F.array_sort(F.collect_list(F.when(held & (F.col("part") == "citations") & (quote != ""), F.struct("n", quote.alias("q"))))).alias("q"),
+    )
+    return per.select("bundle", "rel", "title", strip(F.array_join(F.transform("b", lambda x: x["line"]), "\n")).alias("body"), F.transform("q", lambda x: x["q"]).alias("quotes"))
+
+
 # --- lint -------------------------------------------------------------------------
 
 
@@ -199,19 +235,20 @@ def lint(bundle: DataFrame, allow_dangling: bool = False, min_coverage: float =
 
 
 def lint_summary(bundle: DataFrame, **options) -> DataFrame:
-    """One row per bundle: files, notes, notes with a citations section, atomic, cited, errors and warnings."""
+    """One row per bundle: files, notes, notes with a citations section, atomic, cited, dangling links, links without one back, errors and warnings."""
     p = parsed(bundle).withColumn("_c", ~F.col("reserved") & F.exists(text_lines(F.coalesce("text", F.lit(""))), lambda x: x.rlike(CITATIONS)))
     per = p.groupBy("bundle").agg(F.count(F.lit(1)).alias("md_files"), F.count_if(~F.col("reserved")).alias("concept_notes"), F.count_if("_c").alias("with_citations"))
-    found = lint(bundle, **options).groupBy("bundle").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+    found = lint(bundle, **options).groupBy("bundle").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"),
+                                                        F.count_if(F.col("category") == "dangling-link").alias("dangling"), F.count_if(F.col("category") == "reciprocity").alias("one_way"))
     got = per.join(coverage(bundle).select("bundle", "atomic", "cited"), "bundle").join(found, "bundle", "left")
-    return got.na.fill(0, ["errors", "warnings"])
+    return got.na.fill(0, ["errors", "warnings", "dangling", "one_way"])
 
 
 # --- scoring ----------------------------------------------------------------------
 
 
 def bundle_notes(bundle: DataFrame) -> DataFrame:
-    """(bundle, rel, slug, keys, title, body, quotes) of atomic notes."""
+    """(bundle, rel, slug, keys, text) of atomic notes; :func:`note_parts` gives title, body and quotes."""
     p = parsed(bundle).filter("atomic and fields is not null")
     slug = F.regexp_replace("name", r"\.[^.]*$", "")
     inner = F.regexp_replace(strip(F.coalesce(field(F.col("fields"), "aliases"), F.lit(""))), r"^[\[\]]+|[\[\]]+$", "")
@@ -248,3 +285,11 @@ def link_recall(matched: DataFrame, gold_links: DataFrame, edges: DataFrame) ->
     both = edges.select("bundle", "src", "dst").unionByName(edges.select("bundle", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("hit", F.lit(1))
     got = ends.join(both.toDF("bundle", "a_slug", "b_slug", "hit"), ["bundle", "a_slug", "b_slug"], "left")
     return got.groupBy("bundle").agg(F.count("hit").alias("linked"), F.count(F.lit(1)).alias("links")).withColumn("recall", ratio(F.col("linked"), F.col("links")))
+
+
+def fact_coverage(matched: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Per bundle: facts (bundle, concept, anchor) whose anchor stands in the note of their concept (texts: bundle, slug, text), both in the comparison form; blank anchors ask nothing."""
+    asked = facts.filter(F.coalesce(strip(F.col("anchor")), F.lit("")) != "").join(matched, ["bundle", "concept"], "left").join(texts.select("bundle", "slug", "text"), ["bundle", "slug"], "left")
+    hit = F.contains(squeeze(folded(F.col("text"))), squeeze(folded(F.col("anchor"))))
+    per = asked.withColumn("hit", F.coalesce(hit, F.lit(False))).groupBy("bundle").agg(F.count_if("hit").alias("found"), F.count(F.lit(1)).alias("facts"))
+    return per.withColumn("coverage", ratio(F.col("found"), F.col("facts")))

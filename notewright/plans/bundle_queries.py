@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
+from ..functions.unicode_sql import nfkc_folded
 from ..operators import bundle as bd
 from ..operators import notes as nt
+from ..operators import reports as rp
 from ..session import cut, table
 from .note_queries import _merged, _notes, _src
 
@@ -52,6 +54,22 @@ def coverage_gate(spark, d):
     return bd.coverage(_bundle(spark, d))
 
 
+def note_parts(spark, d):
+    return bd.note_parts(_bundle(spark, d))
+
+
+def fact_coverage(spark, d):
+    """Facts: the first quote of every note must stand in the note's own body."""
+    n = _notes(spark, d).filter("slug is not null and vault is not null")
+    one = n.groupBy(F.col("vault").alias("bundle"), "slug").agg(F.min_by(F.struct("body", "citations"), "ord").alias("n"))
+    facts = one.select("bundle", F.col("slug").alias("concept"), F.try_element_at("n.citations", F.lit(1))["quote"].alias("anchor"))
+    return bd.fact_coverage(one.select("bundle", F.col("slug").alias("concept"), "slug"), facts, one.select("bundle", "slug", F.col("n.body").alias("text")))
+
+
+def lint_report(spark, d):
+    return rp.lint_report(bd.lint(_bundle(spark, d)))
+
+
 def _files(spark, d):
     n = _notes(spark, d)
     m = _merged(spark, d).withColumn("type", F.coalesce(nt.canonical_type(F.col("type")), "type"))
@@ -106,7 +124,7 @@ def link_recall(spark, d):
     return bd.link_recall(bd.match_gold(_note_keys(spark, d), _gold(spark, d)), _gold_pairs(spark, d), edges)
 
 
-QUERIES = {f.__name__: f for f in (front_matter_fields, note_links, dangling_links, related_section_links, lint_findings, lint_summary, coverage_gate, rendered_notes, rendered_lint, section_indexes, gold_recall, link_recall)}
+QUERIES = {f.__name__: f for f in (front_matter_fields, note_links, dangling_links, related_section_links, lint_findings, lint_summary, coverage_gate, note_parts, fact_coverage, lint_report, rendered_notes, rendered_lint, section_indexes, gold_recall, link_recall)}
 
 _W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -155,10 +173,21 @@ ORACLE = {
     "related_section_links": f"with {_B} select bundle, rel, cast(n as int) line_no from rs",
     "lint_findings": f"with {_B} select bundle, level, path, cast(line as int) line, category, message from fi",
     "lint_summary": rf"""with {_B}, cn as (select distinct bundle, rel from l where regexp_matches(line, '(?i)^#{{1,6}}\s+citations\b'))
-        select x.*, coalesce(e, 0) errors, coalesce(w, 0) warnings from (select pa.bundle, count(*) md_files, count(*) filter (not rs) concept_notes, count(*) filter (not rs and cn.rel is not null) with_citations, any_value(atomic) atomic, any_value(cited) cited
-        from pa left join cn using (bundle, rel) join cv on cv.bundle = pa.bundle group by pa.bundle) x left join (select bundle, count(*) filter (level = 'error') e, count(*) filter (level = 'warning') w from fi group by bundle) y using (bundle)""",
+        select x.*, coalesce(e, 0) errors, coalesce(w, 0) warnings, coalesce(dl, 0) dangling, coalesce(ow, 0) one_way from (select pa.bundle, count(*) md_files, count(*) filter (not rs) concept_notes, count(*) filter (not rs and cn.rel is not null) with_citations, any_value(atomic) atomic, any_value(cited) cited
+        from pa left join cn using (bundle, rel) join cv on cv.bundle = pa.bundle group by pa.bundle) x left join (select bundle, count(*) filter (level = 'error') e, count(*) filter (level = 'warning') w, count(*) filter (category = 'dangling-link') dl, count(*) filter (category = 'reciprocity') ow from fi group by bundle) y using (bundle)""",
     "coverage_gate": f"with {_B} select bundle, atomic, cited, case when atomic > 0 then cited / atomic else 1.0 end coverage from cv",
 }
+ORACLE["note_parts"] = rf"""with {_B}, h as (select *, case when regexp_matches(line, '^#\s+.') and regexp_extract(line, '^#\s+(.+)$', 1) <> '' then n end h1 from l), f as (select *, min(h1) over (partition by bundle, rel) fst from h),
+    m as (select *, case when n = fst then 'body' when regexp_matches(line, '^#{{1,6}}\s') then case when regexp_matches(line, '(?i)^#{{1,6}}\s+citations\b') then 'citations' else '' end end mk from f),
+    s as (select *, last_value(mk ignore nulls) over (partition by bundle, rel order by n) part, regexp_extract(line, '"([^"]+)"', 1) qt from m)
+    select bundle, rel, coalesce(max(case when n = fst then {_strip("regexp_extract(line, '^#\s+(.+)$', 1)")} end), '') title, {_strip("coalesce(string_agg(line, chr(10) order by n) filter (mk is null and part = 'body'), '')")} body,
+    coalesce(list(qt order by n) filter (mk is null and part = 'citations' and qt <> ''), []) quotes from s group by bundle, rel"""
+ORACLE["fact_coverage"] = f"""with o as (select vault bundle, slug, arg_min(row(body, citations), ord) x from (select ord, any_value(vault) vault, any_value(slug) slug, any_value(body) body, any_value(citations) citations from notes where ord is not null group by ord) where slug is not null and vault is not null group by all),
+    f as (select bundle, x[1] body, x[2][1].quote q from o), a as (select bundle, trim(regexp_replace({nfkc_folded("body")}, '{_W}+', ' ', 'g')) t, trim(regexp_replace({nfkc_folded("q")}, '{_W}+', ' ', 'g')) q from f where coalesce({_strip("q")}, '') <> '')
+    select bundle, count(*) filter (coalesce(contains(t, q), false)) found, count(*) facts, count(*) filter (coalesce(contains(t, q), false)) / count(*) coverage from a group by bundle"""
+ORACLE["lint_report"] = f"""with {_B}, o as (select *, row_number() over (partition by bundle order by case level when 'error' then 0 else 1 end, path, coalesce(line, 0), category, message) k from fi)
+    select bundle, 0 as k, count(*) filter (level = 'error') || ' errors, ' || count(*) filter (level = 'warning') || ' warnings' as text from fi group by bundle
+    union all select bundle, cast(k as int), upper(level) || ' ' || category || ' ' || path || coalesce(':' || line, '') || ' ' || message from o"""
 _NORM = "trim(regexp_replace(replace(lower({0}), 'ß', 'ss'), '" + _W.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
 _GOLD = f"""n as (select ord, any_value(vault) vault, any_value(slug) slug, any_value(aliases) aliases, any_value(related) related from notes where ord is not null group by ord),
 gp as (select distinct vault bundle, least(slug_a, slug_b) a, greatest(slug_a, slug_b) b from note_matches where same and slug_a is not null and slug_b is not null),
