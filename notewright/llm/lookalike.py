@@ -34,10 +34,10 @@ _SPACES = re.compile("[\x1c-\x1f\u0085   -     　]")
 _VISIBLE = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<small>")
 
 
-@lru_cache(1)
-def _kept() -> re.Pattern:
-    """Characters whose compatibility form looks different (superscripts, fractions, circled ...), found by rule."""
-    own = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(c).startswith(_VISIBLE) and c not in LOOKALIKES]
+@lru_cache(2)
+def _kept(last: int = sys.maxunicode) -> re.Pattern:
+    """Characters up to ``last`` whose compatibility form looks different (superscripts, fractions, circled ...), found by rule."""
+    own = [c for c in map(chr, range(0x80, last + 1)) if unicodedata.decomposition(c).startswith(_VISIBLE) and c not in LOOKALIKES]
     return re.compile("([" + "".join(map(re.escape, own)) + "]+)")
 
 
@@ -58,7 +58,8 @@ def canonical(text: str, fold_case: bool = False) -> str:
         return out.casefold() if fold_case else out
     text = _SPACES.sub(" ", _IGNORABLE.sub("", text))
     if not text.isascii():
-        parts = _kept().split(text)
+        # a class within 16 bits is looked up at once, a wider one is gone through
+        parts = _kept(0xFFFF if max(text) <= "\uffff" else sys.maxunicode).split(text)
         for i in range(0, len(parts), 2):
             parts[i] = unicodedata.normalize("NFKC", parts[i])
         # composed again over the joints, and after letters changed (a Cyrillic a with an accent)
