@@ -67,6 +67,39 @@ def apply_transforms(files: DataFrame, plan: DataFrame, registry: dict[str, Call
     return files, remains
 
 
+def bumped(manifests: DataFrame, plan: DataFrame, remains: DataFrame, current: str) -> DataFrame:
+    """(skill, generator_version, bumped): manifests at the current version where the plan had entries and none remain, else as they were."""
+    asked, left = (x.select("skill").distinct().withColumn(n, F.lit(True)) for x, n in ((plan.filter("plan <> 'skipped'"), "_asked"), (remains, "_left")))
+    got = manifests.join(asked, "skill", "left").join(left, "skill", "left").withColumn("bumped", F.col("_asked").isNotNull() & F.col("_left").isNull())
+    return got.select("skill", F.when(F.col("bumped"), F.lit(current)).otherwise(F.col("generator_version")).alias("generator_version"), "bumped")
+
+
+def with_offset(manifests: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Manifests (skill, page_offset, ...) with the offset a transform used (skill, offset) recorded; one already recorded stays."""
+    got = manifests.join(offsets.select("skill", "offset"), "skill", "left")
+    return got.withColumn("page_offset", F.coalesce("page_offset", "offset")).drop("offset")
+
+
+def personalized(files: DataFrame, skills: DataFrame) -> DataFrame:
+    """Files (skill, rel, text) with the wider hint, of skills (skill, rules) that have a rule to review by; the others stay."""
+    got = files.join(skills.select("skill", "rules"), "skill", "left")
+    return got.select("skill", "rel", F.when(F.coalesce(F.col("rules"), F.lit(0)) >= 1, widen_hint(F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+def unknown_rules(citations: DataFrame, rules: DataFrame) -> DataFrame:
+    """Citations (path, rule) of rules whose name no rule (name) has, compared without case and outer blanks."""
+    key = lambda c: F.lower(strip(F.col(c)))
+    return citations.withColumn("_k", key("rule")).join(rules.select(key("name").alias("_k")).distinct(), "_k", "left_anti").drop("_k")
+
+
+def term_counts(texts: DataFrame, terms: list[str], id_col: str, text: str) -> DataFrame:
+    """(id, term, n): lines of each text that hold each term, without regard to case; terms without a line are left out."""
+    line = F.lower(F.col("line"))
+    rows = texts.select(F.col(id_col).alias("id"), F.explode(F.split(text, "\n")).alias("line"))
+    hit = F.array_compact(F.array(*[F.when(F.contains(line, F.lit(t.lower())), F.lit(t)) for t in terms]))
+    return rows.select("id", F.explode(hit).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def inject_section(text: Column, section: str, heading: str, before: str) -> Column:
     """``section`` put before the heading ``before``, else at the end; texts that hold ``heading`` stay."""
     at = F.instr(text, before)
