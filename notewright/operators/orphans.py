@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import month_index, name_key
 from ..session import cut
-from .skew import HOT_ROWS, hot_keys
+from .skew import hot_keys
 
 FOREVER = 2_000_000_000
+#: References from which on a key is heavy (and holds a thousandth of all): few enough that the heavy half works at any size.
+HEAVY = 20_000
 _KEYS = ["table_name", "scope", "key"]
 
 
@@ -61,7 +63,7 @@ def category_providers(categories: DataFrame) -> DataFrame:
     return _valid(each, "added_at", "retired_at")
 
 
-def orphan_references(references: DataFrame, providers: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def orphan_references(references: DataFrame, providers: DataFrame, hot_rows: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """(orphan rows, counts per table and month).
 
     References: table_name, scope, key, month, rec_id, ref; providers: the same
@@ -110,7 +112,7 @@ def period(month):
     return F.format_string("%04d-%02d", F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"))
 
 
-def vault_orphans(notes: DataFrame, findings: DataFrame, categories: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+def vault_orphans(notes: DataFrame, findings: DataFrame, categories: DataFrame, hot_rows: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """Orphans of ``notes.related`` and ``findings.category``."""
     return orphan_references(
         note_references(notes).unionByName(finding_references(findings)),
