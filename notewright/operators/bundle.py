@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, let, norm, squeeze, strip, text_lines
+from ..session import cut
 from .notes import SECTIONS, canonical_type
 
 #: Reserved names, exempt types, categories and patterns of the file format.
@@ -206,28 +207,59 @@ def coverage(bundle: DataFrame) -> DataFrame:
     return per.withColumn("coverage", F.when(F.col("atomic") > 0, F.col("cited") / F.col("atomic")).otherwise(1.0))
 
 
+def _facts(bundle: DataFrame) -> DataFrame:
+    """What lint asks of every file, from one pass over its lines and without its text; written to the shared folder."""
+    first = lambda raw: F.regexp_extract(strip(raw), r"^\S+", 0)
+    target = lambda raw: F.regexp_replace(first(raw), "#.*$", "")
+
+    def of(ls: Column) -> Column:
+        heads = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.rlike(r"^#{1,2}\s").alias("head"), x.rlike(RELATED).alias("related"))), lambda h: h["head"])
+
+        def with_heads(hs: Column) -> Column:
+            def line(x: Column, i: Column) -> Column:
+                inside = ~x.rlike(r"^#{1,2}\s") & F.coalesce(F.try_element_at(F.filter(hs, lambda h: h["i"] < i), F.lit(-1))["related"], F.lit(False))
+                raws = F.filter(F.regexp_extract_all(x, F.lit(LINK), 1), lambda r: ~first(r).rlike(EXTERNAL) & target(r).endswith(".md"))
+                return F.when(F.contains(x, F.lit("](")), F.transform(raws, lambda r: F.struct((i + 1).alias("line_no"), target(r).alias("target"), resolve(F.col("rel"), target(r)).alias("path"), inside.alias("related"))))
+
+            dates = F.filter(F.transform(ls, lambda x, i: F.struct((i + 1).alias("n"), F.regexp_extract(x, DATE_HEADING, 1).alias("d"))), lambda d: d["d"] != "")
+            return F.struct(F.flatten(F.array_compact(F.transform(ls, line))).alias("links"), F.when(F.col("name") == "log.md", dates).alias("dates"), (strip(F.try_element_at(ls, F.lit(1))) == "---").alias("opens"), F.exists(ls, lambda x: x.rlike(CITATIONS)).alias("section"))
+
+        return let(heads, with_heads)
+
+    only_version = F.coalesce((F.col("rel") == "index.md") & (F.array_distinct(F.transform("fields", lambda e: e["k"])) == F.array(F.lit(VERSION_KEY))), F.lit(False))
+    p = parsed(bundle).withColumn("f", let(text_lines(F.coalesce("text", F.lit(""))), of))
+    facts = p.select("bundle", "rel", "name", "note_type", "reserved", "atomic", "f.links", "f.dates", (F.col("f.section") & ~F.col("reserved")).alias("section"), (F.col("atomic") & is_cited(F.col("text"))).alias("cited"), ((F.col("name") == "index.md") & F.col("f.opens") & ~only_version).alias("fronted"))
+    return cut(facts)
+
+
+def _covered(facts: DataFrame) -> DataFrame:
+    per = facts.groupBy("bundle").agg(F.count_if("atomic").alias("atomic"), F.count_if("cited").alias("cited"))
+    return per.withColumn("coverage", F.when(F.col("atomic") > 0, F.col("cited") / F.col("atomic")).otherwise(1.0))
+
+
 def lint(bundle: DataFrame, allow_dangling: bool = False, min_coverage: float = MIN_COVERAGE, strict_links: bool = False) -> DataFrame:
     """All findings of bundles: (bundle, level, path, line, category, message)."""
-    p = parsed(bundle)
+    return _findings(_facts(bundle), allow_dangling, min_coverage, strict_links)
+
+
+def _findings(p: DataFrame, allow_dangling: bool = False, min_coverage: float = MIN_COVERAGE, strict_links: bool = False) -> DataFrame:
     none = F.lit(None)
     missing = _finding(p.filter("not reserved and note_type = ''"), "error", F.lit(1), "missing-type", F.lit("the front matter names no type"))
-    has = strip(F.try_element_at(text_lines(F.col("text")), F.lit(1))) == "---"
-    only_version = F.coalesce((F.col("rel") == "index.md") & (F.array_distinct(F.transform("fields", lambda e: e["k"])) == F.array(F.lit(VERSION_KEY))), F.lit(False))
-    reserved = _finding(p.filter(F.col("name") == "index.md").filter(has & ~only_version), "error", F.lit(1), "reserved-file", F.lit("a listing file has front matter; the root's own may have the version key alone"))
-    heads = p.filter(F.col("name") == "log.md").select("bundle", "rel", F.posexplode(text_lines(F.col("text"))).alias("i", "l")).select("bundle", "rel", (F.col("i") + 1).alias("n"), F.regexp_extract("l", DATE_HEADING, 1).alias("d")).filter("d <> ''")
-    dated = heads.withColumn("day", F.when(F.col("d").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("d", "yyyy-MM-dd")))
+    reserved = _finding(p.filter("fronted"), "error", F.lit(1), "reserved-file", F.lit("a listing file has front matter; the root's own may have the version key alone"))
+    dated = p.select("bundle", "rel", F.explode("dates").alias("x")).select("bundle", "rel", "x.*").withColumn("day", F.when(F.col("d").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("d", "yyyy-MM-dd")))
     bad = _finding(dated.filter("day is null"), "error", F.col("n"), "log-format", F.concat(F.lit("no such day: "), "d"))
     order = dated.filter("day is not null").selectExpr("*", "lag(day) over (partition by bundle, rel order by n) as before").filter("day > before")
     order = _finding(order, "error", F.col("n"), "log-format", F.format_string("%s stands below the older %s", F.col("day").cast("string"), F.col("before").cast("string")))
-    loose = _finding(dangling(bundle), "warning" if allow_dangling else "error", F.col("line_no"), "dangling-link", F.concat(F.lit("leads nowhere: "), "target"))
-    uncited = _finding(p.filter("atomic").filter(~is_cited(F.col("text"))), "error", none, "coverage", F.lit("cites no chapter"))
-    low = coverage(bundle).filter((F.col("atomic") > 0) & (F.col("coverage") < min_coverage - EPSILON)).withColumn("rel", F.lit("."))
+    # the kind of file each link leads to, if any
+    kinds = p.groupBy("bundle", F.col("rel").alias("path")).agg(F.max("atomic").alias("to_note"))
+    led = p.select("bundle", "rel", "atomic", F.explode("links").alias("x")).select("bundle", "rel", "atomic", "x.*").join(kinds, ["bundle", "path"], "left")
+    loose = _finding(led.filter("to_note is null"), "warning" if allow_dangling else "error", F.col("line_no"), "dangling-link", F.concat(F.lit("leads nowhere: "), "target"))
+    uncited = _finding(p.filter("atomic and not cited"), "error", none, "coverage", F.lit("cites no chapter"))
+    low = _covered(p).filter((F.col("atomic") > 0) & (F.col("coverage") < min_coverage - EPSILON)).withColumn("rel", F.lit("."))
     gate = _finding(low, "error", none, "coverage", F.format_string("%d of %d notes cite a chapter, too few", F.col("cited"), F.col("atomic")))
-    t = related_targets(bundle)
+    t = led.filter("atomic and related and to_note is not null").select("bundle", "rel", "line_no", "path", "to_note")
     edges = t.select("bundle", F.col("rel").alias("path"), F.col("path").alias("rel")).distinct()
-    peers = p.filter("atomic").select("bundle", F.col("rel").alias("path"))
-    one_way = t.join(peers, ["bundle", "path"], "left_semi").join(edges, ["bundle", "rel", "path"], "left_anti")
-    back = _finding(one_way, "error" if strict_links else "warning", F.col("line_no"), "reciprocity", F.concat(F.lit("no link back from "), "path"))
+    back = _finding(t.filter("to_note").join(edges, ["bundle", "rel", "path"], "left_anti"), "error" if strict_links else "warning", F.col("line_no"), "reciprocity", F.concat(F.lit("no link back from "), "path"))
     out = missing
     for f in (reserved, bad, order, loose, uncited, gate, back):
         out = out.unionByName(f)
@@ -236,12 +268,13 @@ def lint(bundle: DataFrame, allow_dangling: bool = False, min_coverage: float =
 
 def lint_summary(bundle: DataFrame, **options) -> DataFrame:
     """One row per bundle: files, notes, notes with a citations section, atomic, cited, dangling links, links without one back, errors and warnings."""
-    p = parsed(bundle).withColumn("_c", ~F.col("reserved") & F.exists(text_lines(F.coalesce("text", F.lit(""))), lambda x: x.rlike(CITATIONS)))
-    per = p.groupBy("bundle").agg(F.count(F.lit(1)).alias("md_files"), F.count_if(~F.col("reserved")).alias("concept_notes"), F.count_if("_c").alias("with_citations"))
-    found = lint(bundle, **options).groupBy("bundle").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"),
-                                                        F.count_if(F.col("category") == "dangling-link").alias("dangling"), F.count_if(F.col("category") == "reciprocity").alias("one_way"))
-    got = per.join(coverage(bundle).select("bundle", "atomic", "cited"), "bundle").join(found, "bundle", "left")
-    return got.na.fill(0, ["errors", "warnings", "dangling", "one_way"])
+    p = _facts(bundle)
+    per = p.groupBy("bundle").agg(F.count(F.lit(1)).alias("md_files"), F.count_if(~F.col("reserved")).alias("concept_notes"), F.count_if("section").alias("with_citations"), F.count_if("atomic").alias("atomic"), F.count_if("cited").alias("cited"))
+    found = _findings(p, **options).groupBy("bundle").agg(
+        F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"),
+        F.count_if(F.col("category") == "dangling-link").alias("dangling"), F.count_if(F.col("category") == "reciprocity").alias("one_way"),
+    )
+    return per.join(found, "bundle", "left").na.fill(0, ["errors", "warnings", "dangling", "one_way"])
 
 
 # --- scoring ----------------------------------------------------------------------

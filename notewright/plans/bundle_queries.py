@@ -180,7 +180,7 @@ ORACLE = {
 ORACLE["note_parts"] = rf"""with {_B}, h as (select *, case when regexp_matches(line, '^#\s+.') and regexp_extract(line, '^#\s+(.+)$', 1) <> '' then n end h1 from l), f as (select *, min(h1) over (partition by bundle, rel) fst from h),
     m as (select *, case when n = fst then 'body' when regexp_matches(line, '^#{{1,6}}\s') then case when regexp_matches(line, '(?i)^#{{1,6}}\s+citations\b') then 'citations' else '' end end mk from f),
     s as (select *, last_value(mk ignore nulls) over (partition by bundle, rel order by n) part, regexp_extract(line, '"([^"]+)"', 1) qt from m)
-    select bundle, rel, coalesce(max(case when n = fst then {_strip("regexp_extract(line, '^#\s+(.+)$', 1)")} end), '') title, {_strip("coalesce(string_agg(line, chr(10) order by n) filter (mk is null and part = 'body'), '')")} body,
+    select bundle, rel, coalesce(max(case when n = fst then {_strip(r"regexp_extract(line, '^#\s+(.+)$', 1)")} end), '') title, {_strip("coalesce(string_agg(line, chr(10) order by n) filter (mk is null and part = 'body'), '')")} body,
     coalesce(list(qt order by n) filter (mk is null and part = 'citations' and qt <> ''), []) quotes from s group by bundle, rel"""
 ORACLE["fact_coverage"] = f"""with o as (select vault bundle, slug, arg_min(row(body, citations), ord) x from (select ord, any_value(vault) vault, any_value(slug) slug, any_value(body) body, any_value(citations) citations from notes where ord is not null group by ord) where slug is not null and vault is not null group by all),
     f as (select bundle, x[1] body, x[2][1].quote q from o), a as (select bundle, trim(regexp_replace({nfkc_folded("body")}, '{_W}+', ' ', 'g')) t, trim(regexp_replace({nfkc_folded("q")}, '{_W}+', ' ', 'g')) q from f where coalesce({_strip("q")}, '') <> '')
