@@ -64,8 +64,7 @@ def page_offset(spark, d):
 
 
 def remap_citations(spark, d):
-    s = _src(spark, d).filter(F.contains(F.col("raw"), F.lit("[Ch")))
-    return s.select("slug", books.remap_citations(F.col("raw"), F.col("page_offset")).alias("text"))
+    return _src(spark, d).select("slug", books.remap_citations(F.col("raw"), F.col("page_offset")).alias("text"))
 
 
 def chunk_plan(spark, d):
@@ -138,6 +137,9 @@ ORACLE = {
     "line_stats": f"with {_S}, {_LINES} select slug, count(*) lines, count(*) filter (line = '') empty, max(len(line)) longest from l group by slug",
     "text_line_stats": f"with {_S}, x as (select slug, {_text_lines('raw')} x from s) select slug, cast(len(x) - (x[-1] = '')::int as bigint) lines from x where len(x) > (x[-1] = '')::int",
     "page_stats": f"with {_S} select slug, generate_subscripts(x, 1) page_no, len(unnest(x)) chars from (select slug, string_split(raw, chr(12)) x from s)",
+    "remap_citations": r"""with s as (select slug, any_value(page_offset) o, regexp_extract_all(any_value(raw), '\[Ch[^\]]*\]|\[|[^\[]+') x from raw_sources where slug is not null group by slug)
+        select slug, array_to_string(list_transform(x, lambda t: case when t not like '[Ch%]' or (o is null and contains(t, '(pdf)')) then t else array_to_string(list_transform(regexp_extract_all(t, 'p\.[0-9]+|p|[^p]+'), lambda u: case when regexp_full_match(u, 'p\.[0-9]+')
+            then 'p.' || case when o is null then u[3:] || ' (pdf)' else greatest(1, cast(u[3:] as bigint) - o)::varchar end else u end), '') end), '') as text from s""",
     "chapters_detected": f"with {_S}, {_CHAPTERS} select slug id, kind, number, heading from c",
     "structure": rf"""with {_S}, {_CHAPTERS} select s.slug id, coalesce(k, 0) chapters, coalesce(h, []) sample, regexp_matches(substr(raw, 1, 30000), '{books.TOC}') has_toc
         from s left join (select slug, count(*) k, list_transform(list(heading order by number)[1:10], lambda x: trim(x)) h from c group by slug) using (slug)""",

@@ -105,7 +105,9 @@ _LOST = f"""with gr as ({nq.ORACLE['ground_citations']}), p as (select n.ord, n.
   select vault, cast(sum(al - kept) as bigint) citations, count(*) filter (kept = 0) notes from p group by vault"""
 _PV = f"""lost as ({_LOST}), bk as (select vault, count(*) n_sources, min(title) one_title from sr group by vault), ct as (select bk.vault, s.section, count(mg.slug) notes from bk join (select unnest([{", ".join(f"'{s}'" for s in vt.ORDER)}]) section) s on true left join mg on mg.vault = bk.vault and mg.section = s.section group by all),
 pv as (select bk.*, (select sum(notes) from ct where ct.vault = bk.vault) n_notes, (select count(*) from mg where mg.vault = bk.vault and mg.merged) n_merged, coalesce(lost.citations, 0) lc, coalesce(lost.notes, 0) ln, case when n_sources = 1 then one_title else n_sources || ' sources' end label from bk left join lost on lost.vault = bk.vault)"""
+_LISTING = f"""select vault bundle, section || '/index.md' rel, '# ' || {_title("section")} || {_NL} || {_NL} || string_agg('- [' || coalesce(title, '') || '](/' || section || '/' || slug || '.md) — ' || coalesce(description, ''), {_NL} order by slug) || {_NL} as text from mg group by vault, section"""
 ORACLE = {
+    "section_indexes": f"with {_MG.replace(' where vault is not null)', ')')} {_LISTING}",
     "vault_section_listings": f"""with {_MG} select vault bundle, section || '/index.md' rel, '# ' || {_title("section")} || {_NL} || {_NL} || string_agg('- [' || coalesce(title, '') || '](/' || section || '/' || slug || '.md) — ' || coalesce(description, ''), {_NL} order by slug) || {_NL} as text from mg group by vault, section""",
     "vault_source_listings": f"""with {_SR} select vault bundle, 'references/index.md' rel, '# References' || {_NL} || {_NL} || string_agg('- [' || title || '](/references/' || slug || '.md) — ' || who, {_NL} order by slug) || {_NL} as text from sr group by vault
         union all select vault, 'moc/index.md', '# Maps of content' || {_NL} || {_NL} || string_agg('- [' || title || '](/moc/' || slug || '.md) — its notes by section', {_NL} order by slug) || {_NL} from sr group by vault""",
